@@ -73,7 +73,7 @@ class _Group:
 
 def _routed(rows: DataFrame, text: str, spread: str, task_bytes: int) -> DataFrame:
     """rows with __len and __route, exchanged by them and sorted; a null text goes by spread."""
-    data = F.col(text).cast("binary")
+    data, names = F.col(text).cast("binary"), rows.columns
     rows = rows.withColumn("__len", F.octet_length(text).cast("long"))
     rows = rows.withColumn("__route", F.coalesce(F.substring(data, 1, FIRST_DIGITS), F.col(spread).cast("string").cast("binary"), F.lit(b"")))
     width, before = FIRST_DIGITS, None
@@ -92,7 +92,7 @@ def _routed(rows: DataFrame, text: str, spread: str, task_bytes: int) -> DataFra
         longer = before.withColumn("__hot", F.lit(True))
         rows = rows.join(longer, ["__len", "__route"], "left").withColumn("__route", F.when(F.col("__hot"), F.substring(data, 1, width)).otherwise(F.col("__route"))).drop("__hot")
         before = rows.select("__len", "__route").filter(F.length("__route") > width // 8).distinct()
-    return rows.repartition("__len", "__route").sortWithinPartitions("__len", "__route")
+    return rows.select(*names, "__len", "__route").repartition("__len", "__route").sortWithinPartitions("__len", "__route")
 
 
 def _runs(batches: Iterable[pa.RecordBatch], text: str, row: Callable, merge: Callable, finish: Callable, alone: Callable, flush: Callable) -> Iterator[pa.RecordBatch]:
