@@ -3,8 +3,8 @@
 Two public vocabularies measure each document: characters per byte-level BPE token, characters
 per piece and the share of byte-fallback pieces of a piece vocabulary, and the entropy of the
 document's tokens over the most that its length allows. Per language (the script, where lang is
-null) a band is laid around the median of all documents: reach times the distance to the outer
-quantiles, wider for short documents, whose means scatter more. Outside its band a document is
+null) a band is laid around the median of all documents: reach times the distance to the
+quartiles, wider for short documents, whose means scatter more. Outside its band a document is
 rejected. White space itself is not encoded; each word is, with one space before it.
 
 Defined results: a null, empty or blank text is rejected as 'empty' and has null measures. A
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from citeloom.llm.common import chunks, expand, pick, pieces, positional, staged
 
 TOKENIZERS = "/opt/tokenizers"
-REACH = 4.0
+REACH = 7.0
 LEAST = 30
 SHORT = 200
 MEASURES = ("chars_per_token", "chars_per_piece", "byte_fallback_share", "token_entropy")
@@ -102,7 +102,7 @@ def _measured(rows: DataFrame, text: str, lang: str, folder: str) -> DataFrame:
 
 def bands(measured: DataFrame, least: int = LEAST) -> DataFrame:
     """Per group the median and the quantiles about it of each measure, over all documents."""
-    at = "array(0.1D, 0.5D, 0.9D)"
+    at = "array(0.25D, 0.5D, 0.75D)"
     quantiles = [F.expr(f"percentile_approx(__{m}, {at}, 2000)").alias(f"__q_{m}") for m in MEASURES]
     return measured.filter("__tokens > 0").groupBy("__group").agg(F.count("*").alias("__n"), *quantiles).filter(F.col("__n") >= least)
 
@@ -113,8 +113,8 @@ def _reason(reach: float) -> Column:
     wider = F.sqrt(1 + F.lit(float(SHORT)) / F.col("__tokens"))
     for m in MEASURES:
         x, q = F.col(f"__{m}"), F.col(f"__q_{m}")
-        # A measure that hardly varies still gets a band of 2 % of its median, 0.02 at least.
-        slack = F.greatest(F.abs(q[1]) * 0.02, F.lit(0.02))
+        # A measure that hardly varies still gets a band: 1.5 % of its median or 0.01 count at least.
+        slack = F.greatest(F.abs(q[1]) * 0.015, F.lit(0.01))
         low, high = (F.greatest(a, slack) * reach * wider for a in (q[1] - q[0], q[2] - q[1]))
         if m != "byte_fallback_share":
             out = out.when(x < q[1] - low, f"{m} low")
