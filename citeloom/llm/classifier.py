@@ -17,7 +17,6 @@ scored each; a null doc_id is scored like any other.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -36,7 +35,6 @@ SAMPLE = 20_000
 THRESHOLD = 0.5
 HIDDEN = 32
 BLOCKS = 16
-TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +48,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 def bucketed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words, and words per text."""
-    w = words(texts, TOKEN, lower=False)
+    w = words(texts, marks=True, lower=False)
     of = (mixed(hashed(w.names), 3) % np.uint64(BUCKETS)).astype(np.int64)
     return of[w.codes], w.counts
 

@@ -118,19 +118,24 @@ def expand(codes: np.ndarray, counts: np.ndarray, each: np.ndarray, values: np.n
     return values[at] if total else values[:0], np.bincount(docs, weights=n, minlength=len(counts)).astype(np.int64)
 
 
-def words(texts: pa.Array, pattern: re.Pattern = WORD, lower: bool = True) -> Words:
-    """Words of each text. Only the distinct pieces of the batch meet Python's regex."""
+def words(texts: pa.Array, marks: bool = False, lower: bool = True) -> Words:
+    """Runs of letters, digits and _ (as regex \\w+) of each text, and with marks, runs of marks too.
+
+    All of it is done by Arrow: Python sees the distinct words of a batch only.
+    """
+    texts = texts.cast(pa.large_string()).fill_null("")
     if lower:
-        texts = pc.utf8_lower(texts.cast(pa.large_string()))
-    codes, strings, counts = pieces(texts)
-    ids: dict[str, int] = {}
-    each, values = np.zeros(len(strings), np.int64), []
-    for i, s in enumerate(strings):
-        found = [s] if s.isalpha() and s.isascii() else pattern.findall(s)
-        each[i] = len(found)
-        values.extend([ids.setdefault(w, len(ids)) for w in found])
-    out, per = expand(codes, counts, each, np.asarray(values, dtype=np.int64))
-    return Words(out, list(ids), per)
+        texts = pc.utf8_lower(texts)
+    texts = pc.replace_substring_regex(texts, r"([^\pL\pN_\s]+)", r" \1 " if marks else " ")
+    lists = pc.utf8_split_whitespace(texts)
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    codes, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    if "" in names:  # before or after white space at an end
+        gap = codes == names.index("")
+        counts = counts - np.bincount(np.repeat(np.arange(len(counts)), counts)[gap], minlength=len(counts))
+        codes = codes[~gap]
+    return Words(codes, names, counts)
 
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:

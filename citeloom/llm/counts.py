@@ -165,7 +165,7 @@ def vocabulary(rows: DataFrame, text: str, uri: str, least: int, bucket_bytes: i
         for rb in chunks(batches, text):
             w = words(rb.column(0))
             held.append((hashed(w.names), np.bincount(w.codes, minlength=len(w.names)).astype(np.int64)))
-            if sum(len(k) for k, _ in held) > 4_000_000:
+            if sum(len(k) for k, _ in held) > 3_000_000:
                 yield send()
                 held.clear()
         if held:
@@ -179,7 +179,7 @@ def vocabulary(rows: DataFrame, text: str, uri: str, least: int, bucket_bytes: i
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([int(kept.sum())]), pa.array([int(n.sum())]), pa.array([int(n[~kept].sum())])], names=["bucket", "size", "total", "other"])
 
     runs = rows.select(text).mapInArrow(count, "bucket int, run binary")
-    got = runs.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, size long, total long, other long").collect()
+    got = runs.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, size long, total long, other long").collect()
     sizes = [0] * (1 << bits)
     for r in got:
         sizes[r.bucket] = r.size

@@ -164,28 +164,42 @@ class Trie:
         self.arrays, sizes = mapped(uri)
         self.roots, self.start2, self.child2, self.start3, self.child3 = (EliasFano(self.arrays, k, *sizes[k]) for k in ("roots", "start2", "child2", "start3", "child3"))
 
-    def _child(self, level: EliasFano, starts: EliasFano, parent: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Index of x among the children of parent, -1 if it is none."""
-        if not level.n or not len(parent):
-            return np.full(len(parent), -1)
+    @staticmethod
+    def _ranges(level: EliasFano, starts: EliasFano, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the children of each parent begin and end, and the value they stand on."""
         lo, hi = starts.access(parent).astype(np.int64), starts.access(parent + 1).astype(np.int64)
-        base = np.where(lo > 0, level.access(np.maximum(lo - 1, 0)), np.uint64(0))
+        return lo, hi, np.where(lo > 0, level.access(np.maximum(lo - 1, 0)), np.uint64(0))
+
+    @staticmethod
+    def _child(level: EliasFano, lo: np.ndarray, hi: np.ndarray, base: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Index of x among the children, -1 if it is none."""
         at = level.successor(base + x.astype(np.uint64), lo, hi)
         hit = at < hi
         hit[hit] = level.access(at[hit]) == base[hit] + x[hit].astype(np.uint64)
         return np.where(hit, at, -1)
 
     def bigrams(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        n = self.roots.n
-        at = self.roots.successor(a.astype(np.uint64), np.zeros(len(a), np.int64), np.full(len(a), n))
-        hit = np.flatnonzero(at < n)
-        hit = hit[self.roots.access(at[hit]) == a[hit].astype(np.uint64)] if n else hit
-        out = np.full(len(a), -1)
-        out[hit] = self._child(self.child2, self.start2, at[hit], b[hit])
+        """Index of each pair, -1 if there is none; a is sorted."""
+        out, n = np.full(len(a), -1), self.roots.n
+        if not n or not len(a):
+            return out
+        new = np.concatenate([[True], a[1:] != a[:-1]])
+        each = a[new].astype(np.uint64)
+        at = self.roots.successor(each, np.zeros(len(each), np.int64), np.full(len(each), n))
+        known = at < n
+        known[known] = self.roots.access(at[known]) == each[known]
+        place = np.cumsum(known) - 1
+        lo, hi, base = self._ranges(self.child2, self.start2, at[known])
+        of = np.cumsum(new) - 1
+        hit = np.flatnonzero(known[of])
+        k = place[of[hit]]
+        out[hit] = self._child(self.child2, lo[k], hi[k], base[k], b[hit])
         return out
 
     def trigrams(self, node: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return self._child(self.child3, self.start3, node, c)
+        if not self.child3.n or not len(node):
+            return np.full(len(node), -1)
+        return self._child(self.child3, *self._ranges(self.child3, self.start3, node), c)
 
     def value(self, name: str, at: np.ndarray) -> np.ndarray:
         return self.arrays[f"{name}.book"][self.arrays[name][at]].astype(np.float64)
@@ -263,7 +277,7 @@ def train(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES) -
             cut = np.searchsorted(shard[order], np.arange(shards + 1))
             return rows_of([(s, squeeze(*(x[order[cut[s] : cut[s + 1]]] for x in (pair, third, n)))) for s in range(shards) if cut[s + 1] > cut[s]])
 
-        for rb in chunks(batches, "text"):
+        for rb in chunks(batches, "text", 8 << 20):
             ids, counts = word_ids(rb.column(0), vocab)
             doc = np.repeat(np.arange(len(counts)), counts)
             at = np.flatnonzero(doc[1:] == doc[:-1])
@@ -271,7 +285,7 @@ def train(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES) -
                 after = np.append(ids, 0)[at + 2].astype(np.uint32)
                 after[np.append(doc, -1)[at + 2] != doc[at]] = END
                 held.append((ids[at].astype(np.uint64) << np.uint64(32) | ids[at + 1].astype(np.uint64), after))
-            if sum(len(p) for p, _ in held) > 4_000_000:
+            if sum(len(p) for p, _ in held) > 3_000_000:
                 yield send()
                 held.clear()
         if held:
@@ -287,10 +301,11 @@ def train(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES) -
             n, pair, third = np.add.reduceat(n, new), pair[new], third[new]
             a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
             roots, taken = build_shard(f"{uri}/shard-{s}", a, b, third, n, vocab.gather("count", a, vocab.other))
-            yield pa.RecordBatch.from_arrays([pa.array(roots), pa.array(taken)], names=["word", "taken"])
+            which = np.where(roots > 0, vocab.bucket_of(roots), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(roots), pa.array(taken)], names=["bucket", "word", "taken"])
 
-    runs = rows.mapInArrow(count, "bucket int, run binary").repartition(shards, "bucket").sortWithinPartitions("bucket")
-    taken = runs.mapInArrow(merge, "word long, taken double").groupBy("word").agg(F.sum("taken").alias("taken"))
+    runs = rows.mapInArrow(count, "bucket int, run binary").repartitionById(shards, F.col("bucket")).sortWithinPartitions("bucket")
+    taken = runs.mapInArrow(merge, "bucket long, word long, taken double").groupBy("bucket", "word").agg(F.sum("taken").alias("taken"))
     first, size = np.array(vocab.first), vocab.size
 
     def backs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,11 +323,8 @@ def train(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES) -
                 put(f"{uri}/back/words-{b}", {"back": back})
             yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([float(t.sum()) if b < 0 else 0.0])], names=["bucket", "other"])
 
-    starts = [int(x) for x in first]
-    bucket = F.when(F.col("word") == 0, -1)
-    for b, at in reversed(list(enumerate(starts))):
-        bucket = bucket.when(F.col("word") > at, b)
-    got = taken.select(bucket.cast("long").alias("bucket"), "word", "taken").repartition("bucket").mapInArrow(backs, "bucket long, other double").collect()
+    got = taken.repartition("bucket").mapInArrow(backs, "bucket long, other double").collect()
+    starts = list(vocab.first)
     for b in set(range(len(starts))) - {r.bucket for r in got}:
         end = starts[b + 1] if b + 1 < len(starts) else size
         put(f"{uri}/back/words-{b}", {"back": np.ones(end - starts[b], np.float32)})

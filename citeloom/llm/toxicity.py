@@ -83,7 +83,7 @@ def seeds(sample: DataFrame, count: int = SEEDS) -> tuple[np.ndarray, np.ndarray
 
 
 def _edges(rows: DataFrame, vocab: Vocabulary, buckets: int, common: float) -> DataFrame:
-    """(a, b, weight), a < b, of the PPMI graph."""
+    """(bucket of a, a, b, weight) of the PPMI graph, each edge from either end."""
     most = max(1.0, common * vocab.total)
 
     def nodes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +111,7 @@ def _edges(rows: DataFrame, vocab: Vocabulary, buckets: int, common: float) -> D
                 a, b = ids[:-k], ids[k:]
                 ok = (docs[:-k] == docs[k:]) & (a != b)
                 held.append(np.minimum(a, b)[ok].astype(np.uint64) << np.uint64(32) | np.maximum(a, b)[ok].astype(np.uint64))
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 3_000_000:
                 yield send()
                 held.clear()
         if held:
@@ -125,21 +125,16 @@ def _edges(rows: DataFrame, vocab: Vocabulary, buckets: int, common: float) -> D
             # Each word has about 2 WINDOW neighbours, so the pairs' chance is that of the words.
             pmi = np.log(n * vocab.total / (2.0 * WINDOW * vocab.gather("count", a, 1.0) * vocab.gather("count", b, 1.0)))
             keep = pmi > 0
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(pmi[keep])], names=["a", "b", "weight"])
+            a, b = np.concatenate([a[keep], b[keep]]), np.concatenate([b[keep], a[keep]])
+            yield pa.RecordBatch.from_arrays([pa.array(vocab.bucket_of(a)), pa.array(a), pa.array(b), pa.array(np.tile(pmi[keep], 2))], names=["bucket", "a", "b", "weight"])
 
     runs = rows.select("text").mapInArrow(count, "bucket int, run binary")
-    return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "a long, b long, weight double")
+    return runs.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(merge, "bucket long, a long, b long, weight double")
 
 
 def _walks(rows: DataFrame, vocab: Vocabulary, uri: str, bad: np.ndarray, good: np.ndarray, buckets: int, common: float) -> None:
     """Writes each word's weight beside the vocabulary, under uri/weight."""
     spark, first, size = rows.sparkSession, np.array(vocab.first), vocab.size
-    edges = staged(_edges(rows, vocab, buckets, common), "edges")
-    both = edges.union(edges.select("b", "a", "weight"))
-    bucket = F.lit(0)
-    for b, at in enumerate(vocab.first[1:], 1):
-        bucket = F.when(F.col("a") > at, b).otherwise(bucket)
-
     def adjacency(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for rb in batches:
@@ -153,7 +148,7 @@ def _walks(rows: DataFrame, vocab: Vocabulary, uri: str, bad: np.ndarray, good:
             put(f"{uri}/degree/words-{b}", {"degree": degree})
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32())], names=["bucket"])
 
-    done = both.select(bucket.alias("bucket"), "a", "b", "weight").repartition("bucket").mapInArrow(adjacency, "bucket int").collect()
+    done = _edges(rows, vocab, buckets, common).repartition("bucket").mapInArrow(adjacency, "bucket int").collect()
     everyone = list(range(len(first)))
     for b in set(everyone) - {r.bucket for r in done}:
         n = int((first[b + 1] if b + 1 < len(first) else size) - first[b])
