@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import classifier, exact, license, lm, minhash, packing, rules, toxicity
+from citeloom.llm import bpe, classifier, exact, license, lm, minhash, packing, rules, toxicity
 from citeloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_encode(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,7 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_lm_scoring, op6_minhash_near_dedup, op7_license_scan, op8_best_fit_packing, op9_quality_classifier, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_bpe_encoding, op3_toxicity, op4_lm_scoring, op6_minhash_near_dedup, op7_license_scan, op8_best_fit_packing, op9_quality_classifier, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
