@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import bpe, classifier, exact, license, lm, minhash, packing, rules, toxicity
+from citeloom.llm import bpe, classifier, exact, license, lm, minhash, packing, rules, toxicity, warc
 from citeloom.llm.common import table
 
 
@@ -26,6 +26,14 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_index(table(spark, sf_dir, "pages"))
+
+
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_bpe_encoding, op3_toxicity, op4_lm_scoring, op6_minhash_near_dedup, op7_license_scan, op8_best_fit_packing, op9_quality_classifier, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_bpe_encoding, op3_toxicity, op4_lm_scoring, op5_warc_normaliser, op6_minhash_near_dedup, op7_license_scan, op8_best_fit_packing, op9_quality_classifier, op10_quality_rules, warc_round_trip)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
@@ -55,4 +63,5 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN text IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY text) END AS copies
         FROM documents
     """,
+    "warc_round_trip": "SELECT page_id, url, sha256(html) AS payload_sha256 FROM pages",
 }
