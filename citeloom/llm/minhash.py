@@ -66,17 +66,22 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, has
 
 
-def _signed(rows: DataFrame) -> DataFrame:
+def _signed(rows: DataFrame, trees: int) -> DataFrame:
+    """(doc_id, sig, nodes): 16 bits of each value, and the children of the trees' roots by all 32."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in chunks(batches, "text", 4 << 20):
             sig, has = signatures(rb.column(1))
-            yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(has)), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "sig"])
+            roots = mixed(np.arange(trees), 9).view(np.int64)
+            nodes = branch(np.tile(roots, len(sig)), np.repeat(sig, trees, axis=0)).reshape(-1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * trees * BRANCHES, pa.int32()), pa.array(nodes))
+            yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(has)), pa.array([s.tobytes() for s in sig.astype(np.uint16)], pa.binary()), lists], names=["doc_id", "sig", "nodes"])
 
-    return rows.mapInArrow(run, "doc_id long, sig binary")
+    return rows.mapInArrow(run, "doc_id long, sig binary, nodes array<long>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, PERMUTATIONS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, PERMUTATIONS)
 
 
 def branch(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
@@ -177,26 +182,20 @@ def components(edges: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
     """(doc_id, group_id, group_size) of the documents with near copies; group_id is the least doc_id."""
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna()
-    signed = staged(_signed(rows), "signatures")
-    same = signed.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    copies = signed.join(same.filter("n > 1"), "sig").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).filter("a < b")
-    sets = staged(same.select(F.col("first").alias("doc_id"), "sig"), "sets")
+    signed = staged(_signed(rows, trees), "signatures")
+    sets = staged(signed.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("nodes").alias("nodes"), F.count("*").alias("n")), "sets")
+    same = sets.filter("n > 1").select("sig", F.col("doc_id").alias("a"))
+    copies = signed.select("sig", "doc_id").join(same, "sig").select("a", F.col("doc_id").alias("b")).filter("a < b")
 
     def children(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From (doc_id, sig, node); a null node stands for the roots of all trees."""
         for rb in batches:
-            ids, sig = rb.column(0).to_numpy(), _matrix(rb.column(1))
-            if rb.column(2).null_count:
-                node = np.repeat(mixed(np.arange(trees), 9).view(np.int64), len(ids))
-                ids, sig = np.tile(ids, trees), np.tile(sig, (trees, 1))
-            else:
-                node = rb.column(2).to_numpy()
+            ids, sig, node = rb.column(0).to_numpy(), _matrix(rb.column(1)), rb.column(2).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BRANCHES)), pa.array(branch(node, sig).reshape(-1))], names=["doc_id", "node"])
 
     found = copies
-    todo = sets.withColumn("node", F.lit(None).cast("long"))
+    held = sets.select("doc_id", F.explode("nodes").alias("node"))
+    sets = sets.select("doc_id", "sig")
     for level in range(1, depth + 1):
-        held = staged(todo.select("doc_id", "sig", "node").mapInArrow(children, "doc_id long, node long"), "nodes")
         sizes = held.groupBy("node").count().filter("count > 1")
         if level < depth:
             large = staged(held.join(sizes.filter(F.col("count") > small).select("node"), "node").distinct(), "large")
@@ -205,7 +204,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREE
         found = found.union(staged(_searched(members, threshold, small).distinct(), "pairs"))
         if level == depth or large.isEmpty():
             break
-        todo = large.join(sets, "doc_id")
+        held = staged(large.join(sets, "doc_id").select("doc_id", "sig", "node").mapInArrow(children, "doc_id long, node long"), "nodes")
     roots = components(found)
     grouped = roots.union(roots.select("root", "root").distinct().toDF("id", "root"))
     sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("group_size"))
