@@ -91,9 +91,9 @@ def _measured(rows: DataFrame, text: str, lang: str, folder: str) -> DataFrame:
     names = rows.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in chunks(batches, text):
+        for rb in chunks(batches, text, 3 << 20):
             got = measure(rb.column(names.index(text)), folder)
-            groups = [g if g is not None else script(t or "") for g, t in zip(rb.column(names.index(lang)).to_pylist(), rb.column(names.index(text)).to_pylist())]
+            groups = [g if g is not None else script(t.as_py() or "") for g, t in zip(rb.column(names.index(lang)).to_pylist(), rb.column(names.index(text)))]
             values = [pa.array(got[m], pa.float64(), mask=np.isnan(got[m])) for m in MEASURES]
             yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(groups, pa.string()), *values, pa.array(got["tokens"].astype(np.int64))], names=[*names, *[f.name for f in added]])
 
