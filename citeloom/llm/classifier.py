@@ -104,11 +104,15 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if len(buckets):
         starts = (np.cumsum(counts) - counts)[counts > 0]
         w = vectors[buckets, DIM].astype(np.float64)
-        x = vectors[buckets, :DIM].astype(np.float64)
-        total = np.add.reduceat(w, starts)[:, None]
-        mean = np.add.reduceat(x * w[:, None], starts) / total
-        square = np.add.reduceat(x * x * w[:, None], starts) / total
-        out[counts > 0] = np.concatenate([mean, np.sqrt(np.maximum(0, square - mean * mean))], 1)
+        total = np.add.reduceat(w, starts)
+        # One dimension at a time: all of them for each word would take a kilobyte a word.
+        for j, column in enumerate(np.ascontiguousarray(vectors[:, :DIM].T).astype(np.float64)):
+            x = column[buckets]
+            xw = x * w
+            mean = np.add.reduceat(xw, starts) / total
+            square = np.add.reduceat(xw * x, starts) / total
+            out[counts > 0, j] = mean
+            out[counts > 0, DIM + j] = np.sqrt(np.maximum(0, square - mean * mean))
     return out, counts
 
 
