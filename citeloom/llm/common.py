@@ -24,8 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session has Spark's 10,000: both sides hold a batch of whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def positional(df: DataFrame) -> DataFrame:
     """The same rows with the columns named _0, _1, ...: no name of the caller's can clash."""
+    lean(df.sparkSession)
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
 
