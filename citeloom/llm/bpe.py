@@ -30,6 +30,7 @@ from citeloom.llm.common import chunks, expand, pick
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BATCH_BYTES = 32 << 20
+PIECE_BYTES = 2 << 20
 _SPACE = r"[\t-\r\x85\p{Z}]"
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^\t-\r\x85\p{{Z}}\p{{L}}\p{{N}}]+|{_SPACE}+(?![^\t-\r\x85\p{{Z}}])|{_SPACE}+")
 
@@ -128,8 +129,8 @@ def replay(words: list[bytes], table: Ranks) -> tuple[np.ndarray, np.ndarray]:
     return token[live], np.bincount(word[live], minlength=len(words))
 
 
-def _pretokens(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Codes of the pre-tokens text after text, the distinct ones, and how many each text has."""
+def _pretokens(texts: pa.Array, ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the pre-tokens text after text, and how many each text has; new ones join ids."""
     texts = texts.cast(pa.large_string()).fill_null("")
     mark = next(c for c in "\x1f\x1e\x1d\x1c\x02\x03" + "".join(map(chr, range(0xF0000, 0xF0100))) if not pc.any(pc.match_substring(texts, c)).as_py())
     # Cutting before spaces cuts no pre-token, but where a space stands inside a longer gap.
@@ -139,20 +140,20 @@ def _pretokens(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     lists = pc.split_pattern(split, mark)
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    ids: dict[str, int] = {}
     each, values = np.zeros(len(coded.dictionary), np.int64), []
     for i, s in enumerate(coded.dictionary.to_pylist()):
         found = [s] if s[1:].isalpha() and s[:1] == " " else PATTERN.findall(s)
         each[i] = len(found)
         values.extend([ids.setdefault(w, len(ids)) for w in found])
     out, per = expand(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts, each, np.array(values, np.int64))
-    return out, list(ids), per
+    return out, per
 
 
 def encode_batch(texts: pa.Array, table: Ranks) -> tuple[np.ndarray, np.ndarray]:
     """Tokens text after text, and how many each has."""
-    codes, words, counts = _pretokens(texts)
-    tokens, each = replay([w.encode("utf-8", "surrogatepass") for w in words], table)
+    ids: dict[str, int] = {}
+    codes, counts = _pretokens(texts, ids)
+    tokens, each = replay([w.encode("utf-8", "surrogatepass") for w in ids], table)
     return expand(codes, counts, each, tokens)
 
 
@@ -171,15 +172,33 @@ def bpe_encode(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCA
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks(folder, vocabulary)
-        for rb in chunks(batches, "text", BATCH_BYTES):
-            texts = rb.column(1)
-            tokens, counts = encode_batch(texts, table)
-            back = decode_batch(tokens, counts, table)
-            same = pc.equal(back, texts.cast(pa.large_string()).cast(pa.large_binary()))
-            offsets = np.concatenate([[0], np.cumsum(counts)])
-            null = texts.is_null().to_numpy(zero_copy_only=False)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens.astype(np.int32)), mask=pa.array(null))
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(counts, pa.int64(), mask=null), lists, same], names=["doc_id", "n_tokens", "tokens", "round_trip"])
+        ids: dict[str, int] = {}
+        held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
+
+        def encoded() -> Iterator[pa.RecordBatch]:
+            tokens_of, each = replay([w.encode("utf-8", "surrogatepass") for w in ids], table)
+            for rb, codes, counts in held:
+                texts = rb.column(1)
+                tokens, counts = expand(codes, counts, each, tokens_of)
+                same = pc.equal(decode_batch(tokens, counts, table), texts.cast(pa.large_string()).cast(pa.large_binary()))
+                offsets = np.concatenate([[0], np.cumsum(counts)])
+                null = texts.is_null().to_numpy(zero_copy_only=False)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens.astype(np.int32)), mask=pa.array(null))
+                yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(counts, pa.int64(), mask=null), lists, same], names=["doc_id", "n_tokens", "tokens", "round_trip"])
+            ids.clear()
+            held.clear()
+
+        # One replay for the words of BATCH_BYTES of text; texts themselves are handled in small pieces.
+        size = 0
+        for rb in chunks(batches, "text", PIECE_BYTES):
+            codes, counts = _pretokens(rb.column(1), ids)
+            held.append((rb, codes.astype(np.int32), counts))
+            size += rb.nbytes
+            if size >= BATCH_BYTES:
+                yield from encoded()
+                size = 0
+        if held:
+            yield from encoded()
 
     return rows.mapInArrow(run, "doc_id long, n_tokens long, tokens array<int>, round_trip boolean")
 
