@@ -66,7 +66,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
                 twice = (b == a) & (left[a] < 2)
                 b[twice] = below[a[twice] - 1]
                 both = np.where(b > 0, a + b, 0)
-                k = int(np.argmax(both))
+                k = len(both) - 1 - int(np.argmax(both[::-1]))  # of equally tight pairs that with the least piece
                 if both[k] > small:
                     held.pop()
                     take(int(a[k]))
