@@ -1,15 +1,16 @@
 """Toxicity by lexicon induction: random walks from labelled seeds over a PPMI word graph.
 
-The graph is that of all documents: words of at least least occurrences and at most the share common
-of all words (commoner ones go with everything), joined where they are neighbours, among such words,
-at a distance of up to WINDOW, at least twice, and more often than chance: the weight is the
-positive pointwise mutual information. Seeds come from a bounded sample of labelled documents (the
-parameter sample; the rows with the least hash of doc_id): words that occur in toxic documents far
-more often than their share, in at least SUPPORT different contexts, so that copies of one document
-do not make seeds; and as many that never occur in toxic ones. Walks with restart from either side
+The graph is that of all documents and all their words, common ones too, joined where they stand at
+a distance of up to WINDOW, at least twice, and more often than chance: the weight is the positive
+pointwise mutual information, which damps common words as they go with everything. Edges of one word
+are split by the other's bucket, so that no task holds all those of a common one. Seeds come from a
+bounded sample of labelled documents (the parameter sample; the rows with the least hash of doc_id):
+words that occur in toxic documents far more often than their share, in at least SUPPORT different
+contexts, so that copies of one document do not make seeds; and as many that never occur in toxic
+ones. Walks with restart from either side
 give each word two masses, and their contrast is its weight, from 0 to 1. A document's score is the
 chance that at least one of its words speaks for toxicity, 1 - product(1 - weight) over words of a
-weight of at least CERTAIN. The cut is the best F1 on the sample.
+weight of at least CERTAIN. The cut is that of the best F1 on the sample.
 
 Defined results: null and empty texts score 0 and are not toxic. Rows repeated count in the graph and
 are scored each; a doc_id that is labelled or present more than once counts in the sample as one
@@ -27,10 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import chunks, hashed, mixed, pick, scratch, staged, words
-from citeloom.llm.counts import Vocabulary, by_bucket, mapped, put, rows_of, squeeze, summed, text_bytes, vocabulary, word_ids
+from citeloom.llm.counts import Vocabulary, by_bucket, mapped, put, rows_of, squeeze, summed, text_bytes, unsqueeze, vocabulary, word_ids
 
-LEAST = 10
-COMMON = 1e-4
 WINDOW = 2
 SAMPLE = 30_000
 SUPPORT = 4
@@ -39,7 +38,8 @@ EVIDENCE = 30.0
 RESTART = 0.3
 STEPS = 4
 CERTAIN = 0.3
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
+SPLIT_WORDS = 4 << 20
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -82,108 +82,120 @@ def seeds(sample: DataFrame, count: int = SEEDS) -> tuple[np.ndarray, np.ndarray
     return tuple(np.array([r.word for r in x.collect()], np.int64).view(np.uint64) for x in (bad, good))
 
 
-def _edges(rows: DataFrame, vocab: Vocabulary, buckets: int, common: float) -> DataFrame:
-    """(bucket of a, a, b, weight) of the PPMI graph, each edge from either end."""
-    most = max(1.0, common * vocab.total)
-
-    def nodes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = word_ids(texts, vocab)
-        known, back = np.unique(ids, return_inverse=True)
-        n = vocab.gather("count", known, np.inf)
-        keep = (n <= most)[back]
-        docs = np.repeat(np.arange(len(counts)), counts)
-        return ids[keep], docs[keep]
+def _edges(rows: DataFrame, vocab: Vocabulary, buckets: int, splits: int) -> DataFrame:
+    """(group, run) of the PPMI graph, each edge from either end; a group is bucket of a * splits + split of b."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def send():
-            keys, n = summed(np.concatenate(held), np.ones(sum(map(len, held)), np.int64))
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
             bucket = (mixed(keys, 11) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             parts = [(b, order[cut[b] : cut[b + 1]]) for b in range(buckets) if cut[b + 1] > cut[b]]
             return rows_of([(b, squeeze(keys[o], n[o].astype(np.uint32))) for b, o in parts])
 
-        for rb in chunks(batches, "text"):
-            ids, docs = nodes(rb.column(0))
+        for rb in chunks(batches, "text", 6 << 20):
+            ids, counts = word_ids(rb.column(0), vocab)
+            docs = np.repeat(np.arange(len(counts)), counts)
             for k in range(1, WINDOW + 1):
                 a, b = ids[:-k], ids[k:]
                 ok = (docs[:-k] == docs[k:]) & (a != b)
                 held.append(np.minimum(a, b)[ok].astype(np.uint64) << np.uint64(32) | np.maximum(a, b)[ok].astype(np.uint64))
-            if sum(map(len, held)) > 3_000_000:
+            if sum(map(len, held)) > 5_000_000:
                 yield send()
                 held.clear()
-        if held:
+        if sum(map(len, held)):
             yield send()
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, runs in by_bucket(batches):
             keys, n = summed(np.concatenate([r[0] for r in runs]), np.concatenate([r[1].astype(np.int64) for r in runs]))
             keys, n = keys[n >= 2], n[n >= 2]
-            a, b = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            # Each word has about 2 WINDOW neighbours, so the pairs' chance is that of the words.
-            pmi = np.log(n * vocab.total / (2.0 * WINDOW * vocab.gather("count", a, 1.0) * vocab.gather("count", b, 1.0)))
-            keep = pmi > 0
-            a, b = np.concatenate([a[keep], b[keep]]), np.concatenate([b[keep], a[keep]])
-            yield pa.RecordBatch.from_arrays([pa.array(vocab.bucket_of(a)), pa.array(a), pa.array(b), pa.array(np.tile(pmi[keep], 2))], names=["bucket", "a", "b", "weight"])
+            keep = _pmi(vocab, *_ends(keys), n) > 0
+            a, b = _ends(keys[keep])
+            keys, n = np.concatenate([keys[keep], b.astype(np.uint64) << np.uint64(32) | a.astype(np.uint64)]), np.tile(n[keep], 2)
+            a, b = np.concatenate([a, b]), np.concatenate([b, a])
+            group = vocab.bucket_of(a) * splits + vocab.bucket_of(b) % splits
+            order = np.lexsort([keys, group])
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0, [True]])) if len(order) else np.zeros(1, np.int64)
+            yield rows_of([(int(group[order[i]]), squeeze(keys[order[i:j]], n[order[i:j]].astype(np.uint32))) for i, j in zip(cut[:-1], cut[1:])])
 
     runs = rows.select("text").mapInArrow(count, "bucket int, run binary")
-    return runs.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(merge, "bucket long, a long, b long, weight double")
+    return runs.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, run binary")
+
+
+def _ends(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _walks(rows: DataFrame, vocab: Vocabulary, uri: str, bad: np.ndarray, good: np.ndarray, buckets: int, common: float) -> None:
-    """Writes each word's weight beside the vocabulary, under uri/weight."""
+def _pmi(vocab: Vocabulary, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    # Each word has about 2 WINDOW neighbours, so the pairs' chance is that of the words.
+    return np.log(n * float(vocab.total) / (2.0 * WINDOW * vocab.gather("count", a, 1.0) * vocab.gather("count", b, 1.0)))
+
+
+def _walks(rows: DataFrame, vocab: Vocabulary, uri: str, bad: np.ndarray, good: np.ndarray, buckets: int) -> None:
+    """Writes each word's weight beside the vocabulary, under uri/step{STEPS}."""
     spark, first, size = rows.sparkSession, np.array(vocab.first), vocab.size
-    def adjacency(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
-        for rb in batches:
-            which, *cols = (c.to_numpy() for c in rb.columns)
-            for b in np.unique(which):
-                parts.setdefault(int(b), []).append(tuple(c[which == b] for c in cols))
-        for b, held in parts.items():
-            a, other, w = map(np.concatenate, zip(*held))
-            put(f"{uri}/graph/words-{b}", {"a": a, "b": other, "w": w.astype(np.float32)})
-            degree = np.bincount(a - 1 - first[b], weights=w, minlength=(first[b + 1] if b + 1 < len(first) else size) - first[b])
-            put(f"{uri}/degree/words-{b}", {"degree": degree})
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32())], names=["bucket"])
-
-    done = _edges(rows, vocab, buckets, common).repartition("bucket").mapInArrow(adjacency, "bucket int").collect()
     everyone = list(range(len(first)))
-    for b in set(everyone) - {r.bucket for r in done}:
-        n = int((first[b + 1] if b + 1 < len(first) else size) - first[b])
-        put(f"{uri}/graph/words-{b}", {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "w": np.zeros(0, np.float32)})
-        put(f"{uri}/degree/words-{b}", {"degree": np.zeros(n)})
+    splits = min(len(first), -(-max(1, size) // SPLIT_WORDS))
+    width = lambda b: int((first[b + 1] if b + 1 < len(first) else size) - first[b])
+
+    def adjacency(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, runs in by_bucket(batches):
+            keys, n = summed(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
+            put(f"{uri}/graph/edges-{group}", {"run": np.frombuffer(squeeze(keys, n.astype(np.uint32)), np.uint8)})
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32())], names=["bucket"])
+
+    edges = _edges(rows, vocab, buckets, splits)
+    done = edges.repartitionById(len(first) * splits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(adjacency, "bucket int").collect()
+    there = {r.bucket for r in done}
     start = [np.sort(i[i > 0]) for i in (vocab.ids(bad), vocab.ids(good))]
 
+    def edges_of(b: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place of a in bucket b, id of b, weight), split by split."""
+        for group in range(b * splits, (b + 1) * splits):
+            if group in there:
+                keys, n = unsqueeze(mapped(f"{uri}/graph/edges-{group}")[0]["run"].tobytes())
+                a, other = _ends(keys)
+                yield a - 1 - first[b], other, _pmi(vocab, a, other, n)
+
+    def degrees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for b in rb.column(0).to_pylist():
+                degree = np.zeros(width(b))
+                for a, _, w in edges_of(b):
+                    degree += np.bincount(a, weights=w, minlength=len(degree))
+                put(f"{uri}/degree/words-{b}", {"degree": degree.astype(np.float32)})
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32())], names=["bucket"])
+
     def step(k: int):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rb in batches:
                 for b in rb.column(0).to_pylist():
-                    n = int((first[b + 1] if b + 1 < len(first) else size) - first[b])
-                    g = mapped(f"{uri}/graph/words-{b}")[0]
-                    out = {}
-                    for side, own in zip(("bad", "good"), start):
-                        mass = np.zeros(n)
+                    n = width(b)
+                    out = {side: np.zeros(n) for side in ("bad", "good")}
+                    for a, other, w in edges_of(b) if k else ():
+                        w = w / np.maximum(vocab.gather("degree", other, 1.0, folder=f"{uri}/degree"), 1e-9)
+                        for side in out:
+                            near = vocab.gather(side, other, 0.0, folder=f"{uri}/step{k - 1}")
+                            out[side] += (1 - RESTART) * np.bincount(a, weights=near * w, minlength=n)
+                    for side, own in zip(out, start):
                         here = own[(own > first[b]) & (own <= first[b] + n)] - 1 - first[b]
-                        mass[here] = (1.0 if k == 0 else RESTART) / max(1, len(own))
-                        if k and len(g["a"]):
-                            near = vocab.gather(side, g["b"], 0.0, folder=f"{uri}/step{k - 1}")
-                            degree = np.maximum(vocab.gather("degree", g["b"], 1.0, folder=f"{uri}/degree"), 1e-9)
-                            mass += (1 - RESTART) * np.bincount(g["a"] - 1 - first[b], weights=near * g["w"] / degree, minlength=n)
-                        out[side] = mass
+                        out[side][here] += (1.0 if k == 0 else RESTART) / max(1, len(own))
                     if k == STEPS:
                         # In units of what a seed has from its restarts alone.
-                        mb, mg = (out[side] * len(own) / RESTART for side, own in zip(("bad", "good"), start))
+                        mb, mg = (out[side] * len(own) / RESTART for side, own in zip(out, start))
                         out = {"weight": np.clip((mb - mg) / (mb + mg + 1), 0, 0.999)}
-                    put(f"{uri}/step{k}/words-{b}", out)
+                    put(f"{uri}/step{k}/words-{b}", {name: x.astype(np.float32) for name, x in out.items()})
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32())], names=["bucket"])
 
         return run
 
     ids = spark.createDataFrame([(b,) for b in everyone], "bucket int")
-    for k in range(STEPS + 1):
-        ids.repartition(len(everyone)).mapInArrow(step(k), "bucket int").collect()
+    for f in (degrees, *map(step, range(STEPS + 1))):
+        ids.repartitionById(len(everyone), F.col("bucket")).mapInArrow(f, "bucket int").collect()
 
 
 def _scores(rows: DataFrame, keep: str, vocab: Vocabulary, uri: str) -> DataFrame:
@@ -200,7 +212,7 @@ def _scores(rows: DataFrame, keep: str, vocab: Vocabulary, uri: str) -> DataFram
     return rows.select(keep, "text").mapInArrow(run, f"{keep} long, score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = LEAST, common: float = COMMON) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, score, toxic) for every row."""
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = sampled(rows, labels, sample)
@@ -208,9 +220,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: in
     if not len(bad):
         return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("toxic"))
     uri = scratch(rows.sparkSession, "toxicity")
-    vocab = vocabulary(rows, "text", f"{uri}/vocab", least)
+    vocab = vocabulary(rows, "text", f"{uri}/vocab", 1)
     buckets = max(1, -(-text_bytes(rows) // BUCKET_BYTES))
-    _walks(rows, vocab, uri, bad, good, buckets, common)
+    _walks(rows, vocab, uri, bad, good, buckets)
     truth = _scores(some.withColumn("id", F.col("id") * 2 + F.col("toxic")), "id", vocab, uri).toPandas()
     score, toxic = truth.score.to_numpy(), truth.id.to_numpy() % 2
     order = np.argsort(-score, kind="stable")
@@ -218,5 +230,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: in
     f1 = 2 * hit / (np.arange(1, len(order) + 1) + toxic.sum())
     f1[np.append(np.diff(score[order]) == 0, False)] = 0  # equal scores are on one side
     f1[score[order] <= 0] = 0
-    cut = max(CERTAIN, float(score[order][int(np.argmax(f1))]))
+    best = float(score[order][int(np.argmax(f1))])
+    # Midway to the next lower score, as the sample doesn't tell where between them the cut lies.
+    cut = max(CERTAIN, (best + max(score[score < best], default=0.0)) / 2)
     return _scores(rows, "doc_id", vocab, uri).select("doc_id", "score", (F.col("score") >= cut).alias("toxic"))
