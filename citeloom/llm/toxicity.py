@@ -5,22 +5,24 @@ a distance of up to WINDOW, at least twice, and more often than chance: the weig
 pointwise mutual information, which damps common words as they go with everything. Edges of one word
 are split by the other's bucket, so that no task holds all those of a common one. Seeds come from a
 bounded sample of labelled documents (the parameter sample; the rows with the least hash of doc_id):
-words that occur in toxic documents far more often than their share, in at least SUPPORT different
-contexts, so that copies of one document do not make seeds; and as many that never occur in toxic
-ones. Walks with restart from either side
+words that occur in toxic documents more often than their share, by more than chance among so many
+words tested, where uses in one context count once, so that copies of one document do not make
+seeds; and those most frequent that never occur in toxic ones. Walks with restart from either side
 give each word two masses, and their contrast is its weight, from 0 to 1. A document's score is the
 chance that at least one of its words speaks for toxicity, 1 - product(1 - weight) over words of a
 weight of at least CERTAIN. The cut is that of the best F1 on the sample.
 
 Defined results: null and empty texts score 0 and are not toxic. Rows repeated count in the graph and
 are scored each; a doc_id that is labelled or present more than once counts in the sample as one
-document, toxic from one half of its labels on. A null doc_id is scored. Without labelled toxic
-documents there are no seeds and all scores are 0.
+document, toxic from one half of its labels on. A null doc_id is scored. In a sample so small that no
+word passes the test, those of the best evidence are the seeds. If the sample lacks toxic or clean
+documents, nothing tells them apart: there are no seeds and all scores are 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,8 @@ from citeloom.llm.counts import Vocabulary, by_bucket, mapped, put, rows_of, squ
 
 WINDOW = 2
 SAMPLE = 30_000
-SUPPORT = 4
 SEEDS = 300
-EVIDENCE = 30.0
+LEVEL = 0.01
 RESTART = 0.3
 STEPS = 4
 CERTAIN = 0.3
@@ -73,13 +74,29 @@ def seeds(sample: DataFrame, count: int = SEEDS) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     got = sample.select("toxic", "text").mapInArrow(terms, "word long, toxic int, context long").groupBy("word")
     got = got.agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.bit_count(F.bit_or(F.when(F.col("toxic") == 1, F.col("context")).otherwise(0))).alias("support"))
-    z = (F.col("t") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
-    # So many words are tested that chance alone must be ruled out far beyond the usual: by G squared.
-    t, n = F.col("t"), F.col("n")
+    t, n, support = F.col("t"), F.col("n"), F.col("support")
     g2 = 2 * (t * F.log(t / (n * base)) + F.when(t < n, (n - t) * F.log((n - t) / (n * (1 - base)))).otherwise(0))
-    bad = got.filter((F.col("support") >= SUPPORT) & (t > 0.6 * n) & (g2 >= EVIDENCE)).orderBy(g2.desc(), "word").limit(count).select("word")
-    good = got.filter((F.col("t") == 0) & (z <= -2)).orderBy(z, "word").limit(count).select("word")
-    return tuple(np.array([r.word for r in x.collect()], np.int64).view(np.uint64) for x in (bad, good))
+    # The 64 bits fill up: so many contexts leave so many of them set.
+    contexts = F.when(support < 64, -64 * F.log(1 - support / 64)).otherwise(t)
+    sizes = got.groupBy("n").count().toPandas().sort_values("n")
+    limit = _evidence(sizes["n"].to_numpy(), sizes["count"].to_numpy(), base)
+    ranked = got.filter(t > n * base).withColumn("g2", g2 * F.least(F.lit(1.0), contexts / t)).orderBy(F.col("g2").desc(), "word")
+    bad = ranked.filter((t > 0.6 * n) & (F.col("g2") >= limit)).limit(count).collect()
+    if not bad:
+        best = ranked.limit(count).collect()
+        bad = [r for r in best if r.g2 >= best[0].g2 * (1 - 1e-9)]
+    good = got.filter(t == 0).orderBy(n.desc(), "word").limit(count).collect()
+    return tuple(np.array([r.word for r in x], np.int64).view(np.uint64) for x in (bad, good))
+
+
+def _evidence(n: np.ndarray, times: np.ndarray, base: float) -> float:
+    """The G squared that LEVEL asks for, corrected for the words tested: those of enough documents to reach it (Tarone)."""
+    tested = np.cumsum(times[::-1])[::-1]
+    for lowest, words_tested in zip(n, tested):
+        limit = NormalDist().inv_cdf(LEVEL / float(words_tested) / 2) ** 2
+        if -2 * lowest * np.log(base) >= limit:
+            return float(limit)
+    return float(-2 * n[-1] * np.log(base)) if len(n) else 0.0
 
 
 def _edges(rows: DataFrame, vocab: Vocabulary, buckets: int, splits: int) -> DataFrame:

@@ -1,12 +1,24 @@
+import os
 import random
 
+from citeloom.llm.common import table
 from citeloom.llm.toxicity import toxicity
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
 def scores(spark, docs_of, rows, labels):
     known = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
     return {r.doc_id: r for r in toxicity(docs_of(rows), known).collect()}
 
 
+def test_a_few_labels_give_seeds(spark, docs_of):
+    rows = [(1, "you utter oaf"), (2, "what an oaf he is"), (3, "a fine day in may"), (4, "he is in the garden"), (5, "the day is fine"), (6, "that oaf again"), (7, None)]
+    got = scores(spark, docs_of, rows, [(1, 1, 0), (2, 1, 0), (3, 0, 1), (4, 0, 1), (5, 0, 1)])
+    assert {d for d, r in got.items() if r.toxic} == {1, 2, 6}
+    assert got[7].score == 0 and got[4].score == 0
+
+
 def test_walks_reach_a_common_word_that_is_no_seed(spark, docs_of):
     rng = random.Random(5)
     clean = [f"word{i}" for i in range(60)]
@@ -20,6 +32,14 @@ def test_walks_reach_a_common_word_that_is_no_seed(spark, docs_of):
     assert all(got[i].toxic for i in range(30)) and not any(got[i].toxic for i in range(30, 200))
 
 
+def test_labelled_documents_of_the_small_tables(spark):
+    labels = table(spark, SF, "labels")
+    found = {r.doc_id for r in toxicity(table(spark, SF, "documents"), labels).filter("toxic").collect()}
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    hit = sum(truth.get(d, 0) for d in found)
+    assert hit >= sum(truth.values()) / 2 and not any(truth.get(d) == 0 for d in found)
+
+
 def test_no_contrast_no_scores(spark, docs_of):
     rows = [(1, "you oaf"), (2, "oaf"), (3, None)]
     for toxic in (0, 1):
