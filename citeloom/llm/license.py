@@ -8,13 +8,15 @@ are places with too few of the template's bigrams. The best stretch of each clus
 shared with the template is returned, with the words where it starts and ends.
 
 Defined results: null and empty texts and texts of one word match nothing and return no row. A
-document returns a row for each licence it holds, its best stretch (the first, of equal ones); rows
-repeated with one doc_id return theirs each. A null doc_id stays null.
+document returns a row for each licence it holds, its best stretch (the first, of equal ones); with
+closest, not the licences whose stretch overlaps that of one with a higher coefficient, as those of a
+kindred licence do. Rows repeated with one doc_id return theirs each. A null doc_id stays null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +69,44 @@ CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA
 CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
 SOFTWARE."""
 
+_LGPL_NOTICE = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+General Public License as published by the Free Software Foundation; either version {} of the License, or (at your
+option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General
+Public License for more details."""
+_MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+_CC0_NOTICE = """To the extent possible under law, the author has waived all copyright and related or neighboring rights to
+this work."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or
+authors of this software dedicate any and all copyright interest in the software to the public domain. We make this
+dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this
+dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under
+copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more
+information, please refer to <https://unlicense.org/>"""
+
+
+def _full(name: str) -> str:
+    return (Path(__file__).parent / "licenses" / f"{name}.txt").read_text()
+
+
+def _creative_commons() -> list[tuple[str, str]]:
+    """Short form, notice and identifier of each of the six licences in each version."""
+    kinds = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+    versions = {"4.0": " International", "3.0": " Unported", "2.5": " Generic", "2.0": " Generic", "1.0": " Generic"}
+    out = []
+    for code, kind in kinds.items():
+        for version, port in versions.items():
+            name = f"CC-{code}-{version}"
+            out += [(name, f"Licensed under CC {code} {version}."), (name, f"This work is licensed under a Creative Commons {kind} {version}{port} License."), (name, f"SPDX-License-Identifier: {name}")]
+    return out
+
+
 #: (licence, template); a licence may have several forms.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", _MIT),
@@ -81,8 +121,45 @@ TEMPLATES: list[tuple[str, str]] = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
     ("ISC", _ISC),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("Apache-2.0", _full("Apache-2.0")),
+    ("GPL-3.0", _full("GPL-3.0")),
+    ("GPL-2.0", _full("GPL-2.0")),
+    ("GPL-2.0", _GPL_NOTICE.replace("software:", "software;").replace("version 3", "version 2")),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("LGPL-2.1", _full("LGPL-2.1")),
+    ("LGPL-2.1", _LGPL_NOTICE.format("2.1")),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-only"),
+    ("LGPL-3.0", _full("LGPL-3.0")),
+    ("LGPL-3.0", _LGPL_NOTICE.format("3")),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-only"),
+    ("AGPL-3.0", _GPL_NOTICE.replace("General Public", "Affero General Public")),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("MPL-2.0", _full("MPL-2.0")),
+    ("MPL-2.0", _MPL_NOTICE),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("CC0-1.0", _full("CC0-1.0")),
+    ("CC0-1.0", _CC0_NOTICE),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("CC0-1.0", "Released under CC0 1.0 Universal."),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", "Released under the Unlicense."),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    *_creative_commons(),
 ]
 
 
@@ -106,24 +183,29 @@ def best_stretch(grams: np.ndarray, template: np.ndarray, threshold: float) -> t
         return None
     best = None
     kind = at[hits]
+    # How many of its kind stand before each hit.
+    order = np.argsort(kind, kind="stable")
+    first = np.searchsorted(kind[order], np.arange(len(kinds)))
+    rank = np.empty(len(hits), np.int64)
+    rank[order] = np.arange(len(hits)) - first[kind[order]]
+    before = np.zeros(len(kinds), np.int64)
     for i in range(len(hits) - max(1, need) + 1):
         # The best stretch begins and ends with a shared bigram.
+        if i:
+            before[kind[i - 1]] += 1
         stop = int(np.searchsorted(hits, hits[i] + high))
         if stop - i < need:
             continue
-        used, shared = np.zeros(len(kinds), np.int64), 0
-        for j in range(i, stop):
-            k = kind[j]
-            shared += used[k] < quota[k]
-            used[k] += 1
-            size = int(hits[j] - hits[i]) + 1
-            dice = 2 * shared / (n + size)
-            if size >= low and dice >= threshold and (best is None or dice > best[0]):
-                best = (float(dice), int(hits[i]), int(hits[j]) + 1)
+        own, size = kind[i:stop], hits[i:stop] - hits[i] + 1
+        dice = 2 * np.cumsum(rank[i:stop] - before[own] < quota[own]) / (n + size)
+        dice[size < low] = 0
+        j = int(np.argmax(dice))
+        if dice[j] >= threshold and (best is None or dice[j] > best[0]):
+            best = (float(dice[j]), int(hits[i]), int(hits[i + j]) + 1)
     return best
 
 
-def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] | None = None, closest: bool = False) -> DataFrame:
     """(doc_id, license, dice, first_word, end_word) of every licence found in every document."""
     forms = [(name, _template(text)) for name, text in (TEMPLATES if templates is None else templates)]
     forms = [(name, grams) for name, grams in forms if len(grams)]
@@ -158,6 +240,11 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[
                 got = best_stretch(grams[start[d] : start[d] + w.counts[d] - 1], template, threshold)
                 if got and (got[0], -got[1]) > (out[d, name][0], -out[d, name][1]) if (d, name) in out else got:
                     out[d, name] = got
+            if closest:
+                held: dict[int, list[tuple[float, int, int]]] = {}
+                for (d, _), v in out.items():
+                    held.setdefault(d, []).append(v)
+                out = {(d, name): v for (d, name), v in out.items() if not any(o[0] > v[0] and o[1] < v[2] + 1 and v[1] < o[2] + 1 for o in held[d])}
             ids = rb.column(0).take(pa.array([d for d, _ in out], pa.int64()))
             cols = [ids, pa.array([n for _, n in out], pa.string()), pa.array([v[0] for v in out.values()], pa.float64()), pa.array([v[1] for v in out.values()], pa.int64()), pa.array([v[2] + 1 for v in out.values()], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "license", "dice", "first_word", "end_word"])

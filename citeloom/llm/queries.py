@@ -39,7 +39,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license.license_scan(table(spark, sf_dir, "documents"))
+    return license.license_scan(table(spark, sf_dir, "documents"), closest=True)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
