@@ -8,7 +8,8 @@ quartiles, wider for short documents, whose means scatter more. Outside its band
 rejected. White space itself is not encoded; each word is, with one space before it.
 
 Defined results: a null, empty or blank text is rejected as 'empty' and has null measures. A
-language with fewer than least documents has no band and keeps them all. Rows repeated are
+language with fewer than least documents is judged by the band of all documents in its script, and
+where these are fewer too, of all documents. Rows repeated are
 measured each. A null doc_id stays null. Ties cannot arise: each row is judged on its own.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from citeloom.llm.common import chunks, expand, pick, pieces, positional, staged
 
 TOKENIZERS = "/opt/tokenizers"
-REACH = 7.0
+REACH = 4.0
 LEAST = 30
 SHORT = 200
 MEASURES = ("chars_per_token", "chars_per_piece", "byte_fallback_share", "token_entropy")
@@ -86,25 +87,41 @@ def measure(texts: pa.Array, folder: str) -> dict[str, np.ndarray]:
 
 
 def _measured(rows: DataFrame, text: str, lang: str, folder: str) -> DataFrame:
-    """rows with __group, the measures and __tokens."""
-    added = [T.StructField("__group", T.StringType()), *[T.StructField(f"__{m}", T.DoubleType()) for m in MEASURES], T.StructField("__tokens", T.LongType())]
+    """rows with __group, __script, the measures and __tokens."""
+    added = [T.StructField("__group", T.StringType()), T.StructField("__script", T.StringType()), *[T.StructField(f"__{m}", T.DoubleType()) for m in MEASURES], T.StructField("__tokens", T.LongType())]
     names = rows.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in chunks(batches, text, 3 << 20):
             got = measure(rb.column(names.index(text)), folder)
-            groups = [g if g is not None else script(t.as_py() or "") for g, t in zip(rb.column(names.index(lang)).to_pylist(), rb.column(names.index(text)))]
+            scripts = [script(t.as_py() or "") for t in rb.column(names.index(text))]
+            groups = [g if g is not None else k for g, k in zip(rb.column(names.index(lang)).to_pylist(), scripts)]
             values = [pa.array(got[m], pa.float64(), mask=np.isnan(got[m])) for m in MEASURES]
-            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(groups, pa.string()), *values, pa.array(got["tokens"].astype(np.int64))], names=[*names, *[f.name for f in added]])
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(groups, pa.string()), pa.array(scripts, pa.string()), *values, pa.array(got["tokens"].astype(np.int64))], names=[*names, *[f.name for f in added]])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
 
 
-def bands(measured: DataFrame, least: int = LEAST) -> DataFrame:
-    """Per group the median and the quantiles about it of each measure, over all documents."""
+def bands(measured: DataFrame, by: str = "__group") -> DataFrame:
+    """Per group the number of documents, the median and the quantiles about it of each measure, over all documents."""
     at = "array(0.25D, 0.5D, 0.75D)"
     quantiles = [F.expr(f"percentile_approx(__{m}, {at}, 2000)").alias(f"__q_{m}") for m in MEASURES]
-    return measured.filter("__tokens > 0").groupBy("__group").agg(F.count("*").alias("__n"), *quantiles).filter(F.col("__n") >= least)
+    return measured.filter("__tokens > 0").groupBy(by).agg(F.count("*").alias("__n"), *quantiles)
+
+
+def _banded(measured: DataFrame, least: int) -> DataFrame:
+    """measured with __band and the quantiles of that band: the language's, else the script's, else that of all."""
+    out, found = measured.withColumn("__all", F.lit("all")), []
+    for by in ("__group", "__script", "__all"):
+        limits = bands(out.select("__group", "__script", "__all", "__tokens", *[f"__{m}" for m in MEASURES]), by)
+        if by != "__all":
+            limits = limits.filter(F.col("__n") >= least)
+        found.append(limits.select(by, F.struct(F.col(by).alias("band"), *[f"__q_{m}" for m in MEASURES]).alias(f"_{by}")))
+    # One row a language or script: the size doesn't follow the number of documents.
+    for by, limits in zip(("__group", "__script", "__all"), found):
+        out = out.join(F.broadcast(limits), by, "left")
+    limits = F.coalesce("___group", "___script", "___all")
+    return out.withColumns({"__band": limits["band"], **{f"__q_{m}": limits[f"__q_{m}"] for m in MEASURES}})
 
 
 def _reason(reach: float) -> Column:
@@ -125,9 +142,7 @@ def _reason(reach: float) -> Column:
 
 def _judged(rows: DataFrame, text: str, lang: str, folder: str, reach: float, least: int) -> DataFrame:
     measured = staged(_measured(rows, text, lang, folder), "rules")
-    limits = bands(measured, least)
-    # One row a language: its size doesn't follow the number of documents.
-    return measured.join(limits, "__group", "left").withColumn("__reason", _reason(reach))
+    return _banded(measured, least).withColumn("__reason", _reason(reach))
 
 
 def quality_rules(docs: DataFrame, folder: str = TOKENIZERS, reach: float = REACH, least: int = LEAST) -> DataFrame:
@@ -136,8 +151,8 @@ def quality_rules(docs: DataFrame, folder: str = TOKENIZERS, reach: float = REAC
     rows = rows.select(F.col("_0").cast("long").alias("_0"), "_1", "_2")
     measured = _measured(rows, "_2", "_1", folder).drop("_2")
     measured = staged(measured, "rules")
-    out = measured.join(bands(measured, least), "__group", "left").withColumn("__reason", _reason(reach))
-    return out.select(F.col("_0").alias("doc_id"), F.col("__group").alias("band"), F.col("__tokens").alias("tokens"), *[F.col(f"__{m}").alias(m) for m in MEASURES], F.col("__reason").isNull().alias("keep"), F.col("__reason").alias("reason"))
+    out = _banded(measured, least).withColumn("__reason", _reason(reach))
+    return out.select(F.col("_0").alias("doc_id"), F.coalesce("__band", "__group").alias("band"), F.col("__tokens").alias("tokens"), *[F.col(f"__{m}").alias(m) for m in MEASURES], F.col("__reason").isNull().alias("keep"), F.col("__reason").alias("reason"))
 
 
 def quality_filter(docs: DataFrame, folder: str = TOKENIZERS, reach: float = REACH, least: int = LEAST) -> DataFrame:
