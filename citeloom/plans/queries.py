@@ -168,6 +168,18 @@ def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("hash", text.fingerprint("text_exact", "text_before", "text_after"))
 
 
+def _cited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, as it was cited, and what its whole source is now; no shuffle."""
+    lines = F.split("text", "\n")
+    # 50 lines with their ends are 50 characters at least.
+    before = lambda i: F.when(i > 0, F.right(F.concat(F.array_join(F.slice(lines, F.greatest(i - 49, F.lit(1)), F.least(i, F.lit(50))), "\n"), F.lit("\n")), F.lit(50))).otherwise("")
+    after = lambda i: F.when(i + 1 < F.size(lines), F.left(F.concat(F.lit("\n"), F.array_join(F.slice(lines, i + 2, F.lit(50)), "\n")), F.lit(50))).otherwise("")
+    around = F.transform(lines, lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias("text_exact"), before(i).alias("text_before"), after(i).alias("text_after")))
+    now = F.when(F.col("lang") == "fr", F.upper("text")).when(F.col("lang").isin("de", "en"), F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("url"), now.alias("source_text"), F.lit("tool").alias("captured_by"), F.inline(around))
+    return rows.withColumn("hash", text.fingerprint("text_exact", "text_before", "text_after"))
+
+
 _NOW = "CASE lang WHEN 'fr' THEN upper(text) WHEN 'de' THEN lines[1] WHEN 'en' THEN text END"
 
 
@@ -185,10 +197,16 @@ def source_verify_status(spark, sf_dir):
     return verify.verify(_cited(spark, sf_dir), fuzzy=False).select("doc_id", "status", "badge")
 
 
+@query()
+def source_verify_lines(spark, sf_dir):
+    """The same of every line of every document against its whole source."""
+    return verify.verify(_cited_lines(spark, sf_dir), fuzzy=False).select("doc_id", "pos", "status", "badge")
+
+
 @query()
 def source_verify_fuzzy(spark, sf_dir):
-    """The same with approximate search of what the plain ones left over, which SQL cannot express."""
-    return verify.verify(_cited(spark, sf_dir)).select("doc_id", "status", "badge", "match_type", F.round("similarity", 9).alias("similarity"), F.array_join("warnings", "; ").alias("warnings"))
+    """With approximate search of what the plain ones left over, which SQL cannot express."""
+    return verify.verify(_cited_lines(spark, sf_dir)).select("doc_id", "pos", "status", "badge", "match_type", F.round("similarity", 9).alias("similarity"), F.array_join("warnings", "; ").alias("warnings"))
 
 
 _BIGRAMS = "list_transform(range(1, len({0})), lambda i: {0}[i] || '_' || {0}[i + 1])"
