@@ -16,10 +16,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import chunks, hashed, words
+from citeloom.llm.common import chunks, hashed, staged, words
 
 _CODEC = pa.Codec("zstd", compression_level=1)
 
@@ -109,9 +109,17 @@ def by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[lis
         yield last, held
 
 
+def there(uri: str) -> bool:
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.get_file_info(path).type == fs.FileType.File
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    """Words of at least least occurrences, by the order of their hashes; word 0 is all others."""
+    """Words of at least least occurrences, by the order of their hashes; word 0 is all others.
+
+    Each file has the hashes, their counts, and each word's rank by count among those of the file.
+    """
 
     uri: str
     bits: int
@@ -149,9 +157,13 @@ class Vocabulary:
         return out
 
 
-def vocabulary(rows: DataFrame, text: str, uri: str, least: int, bucket_bytes: int = 64 << 20, pattern=None) -> Vocabulary:
-    """Counts all words of all texts and keeps those of at least least in files under uri."""
-    bits = max(0, (max(1, text_bytes(rows, text)) // bucket_bytes).bit_length())
+def vocabulary(rows: DataFrame, text: str, uri: str, least: int, bucket_bytes: int = 64 << 20, file_words: int = 4 << 20, least_bits: int = 0) -> Vocabulary:
+    """Counts all words of all texts and keeps those of at least least in files under uri.
+
+    The buckets that are counted follow the bytes of the input, the files that are searched later (at
+    least 2 ** least_bits) the number of distinct words, so that a reader opens few of them.
+    """
+    bits = max(least_bits, (max(1, text_bytes(rows, text)) // bucket_bytes).bit_length())
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -175,18 +187,36 @@ def vocabulary(rows: DataFrame, text: str, uri: str, least: int, bucket_bytes: i
         for b, runs in by_bucket(batches):
             keys, n = summed(np.concatenate([r[0] for r in runs]), np.concatenate([r[1].astype(np.int64) for r in runs]))
             kept = n >= least
-            put(f"{uri}/words-{b}", {"hash": keys[kept], "count": n[kept]})
+            put(f"{uri}/parts/{b}", {"run": np.frombuffer(squeeze(keys[kept], n[kept]), np.uint8)})
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([int(kept.sum())]), pa.array([int(n.sum())]), pa.array([int(n[~kept].sum())])], names=["bucket", "size", "total", "other"])
 
     runs = rows.select(text).mapInArrow(count, "bucket int, run binary")
-    got = runs.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, size long, total long, other long").collect()
-    sizes = [0] * (1 << bits)
-    for r in got:
-        sizes[r.bucket] = r.size
-    for b in set(range(1 << bits)) - {r.bucket for r in got}:
-        put(f"{uri}/words-{b}", {"hash": np.zeros(0, np.uint64), "count": np.zeros(0, np.int64)})
-    first = tuple(int(x) for x in np.cumsum([0, *sizes[:-1]]))
-    return Vocabulary(uri, bits, first, sum(sizes), sum(r.total for r in got), sum(r.other for r in got))
+    got = staged(runs.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, size long, total long, other long"), "counted")
+    size, total, other = (x or 0 for x in got.agg(F.sum("size"), F.sum("total"), F.sum("other")).first())
+    files = min(bits, max(least_bits, (size // file_words).bit_length()))
+    each = 1 << (bits - files)
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for f in rb.column(0).to_pylist():
+                found = [unsqueeze(mapped(at)[0]["run"].tobytes()) for b in range(f * each, (f + 1) * each) if there(at := f"{uri}/parts/{b}")]
+                found = [x for x in found if len(x[0])]
+                keys = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.uint64)
+                n = np.concatenate([x[1] for x in found]).view(np.int64) if found else np.zeros(0, np.int64)
+                rank = np.empty(len(n), np.uint32)
+                rank[np.argsort(-n, kind="stable")] = np.arange(len(n))
+                put(f"{uri}/words-{f}", {"hash": keys, "count": n, "rank": rank})
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([len(keys)])], names=["file", "size"])
+
+    # One row a file of file_words words: their number follows the vocabulary, not the text.
+    sizes = dict(over(rows.sparkSession, 1 << files).mapInArrow(join, "file int, size long").collect())
+    first = tuple(int(x) for x in np.cumsum([0, *[sizes[f] for f in range((1 << files) - 1)]]))
+    return Vocabulary(uri, files, first, size, total, other)
+
+
+def over(spark: SparkSession, n: int) -> DataFrame:
+    """The numbers below n, one in each of n partitions."""
+    return spark.range(0, n, 1, n).select(F.col("id").cast("int"))
 
 
 def word_ids(texts: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
