@@ -10,7 +10,8 @@ Defined results: a file of no bytes gives a file of no records. Files of several
 compressed, are read alike. A record that is cut short or malformed ends its file: the records before
 it stand, and one index row with status 'truncated' or 'malformed' and no length says where. Pages
 with a null url get no target URI, a null html gives an empty payload and reads back as empty; rows
-repeated are records each; a null page_id has no id header and stays null.
+repeated are records each; long pages are records like others; a table without rows gives no file; a
+file named twice is rewritten once; other columns are ignored whatever their names; a null page_id has no id header and stays null.
 """
 
 from __future__ import annotations
@@ -172,7 +173,9 @@ def normalise(spark: SparkSession, sources: list[str] | DataFrame, folder: str)
 
     Each file is one task's: a gzip stream cannot be entered midway.
     """
-    files = spark.createDataFrame([(s,) for s in sources], "source string") if isinstance(sources, list) else pick(sources, "source")
+    names = sources if isinstance(sources, list) else [r.source for r in pick(sources, "source").distinct().collect()]  # one row a file
+    names = sorted({s for s in names if s is not None})
+    files = spark.createDataFrame(list(enumerate(names)), "part int, source string")
     schema = pa.schema([("source", pa.string()), ("target", pa.string()), *INDEX])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +185,8 @@ def normalise(spark: SparkSession, sources: list[str] | DataFrame, folder: str)
                 rows = [{"source": source, "target": target, **r} for r in normalise_file(source, target)]
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    spread = files.repartition("source")
+    # By number: adaptive execution would merge rows as small as these into one task.
+    spread = files.repartitionById(max(1, len(names)), F.col("part")).select("source")
     return spread.mapInArrow(run, "source string, target string, record_no long, record_type string, target_uri string, record_id string, offset long, length long, payload_bytes long, status string")
 
 
@@ -191,7 +195,8 @@ def write_monolithic(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES
     rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     total = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     files = max(1, -(-total // file_bytes))
-    rows = rows.withColumn("file", F.pmod(F.xxhash64("page_id", "url"), F.lit(files)).cast("int")).repartitionById(files, F.col("file")).sortWithinPartitions("file", "page_id", "url")
+    # With the row's number, so that rows repeated without end don't meet in one file.
+    rows = rows.withColumn("file", F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), F.lit(files)).cast("int")).repartitionById(files, F.col("file")).sortWithinPartitions("file", "page_id", "url")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -222,9 +227,10 @@ def write_monolithic(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES
     return rows.mapInArrow(run, "source string, records long")
 
 
-def read_back(index: DataFrame) -> DataFrame:
-    """(page_id, url, html) of index rows, each by a read of its own member."""
-    rows = index.filter("status = 'ok'").select("target", "offset", "length").repartition("target").sortWithinPartitions("target", "offset")
+def read_back(index: DataFrame, files: int | None = None) -> DataFrame:
+    """(page_id, url, html) of index rows, each by a read of its own member; files is how many they lie in."""
+    files = files or max(1, index.select("target").distinct().count())
+    rows = index.filter("status = 'ok'").select("target", "offset", "length").repartition(files, "target").sortWithinPartitions("target", "offset")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, handle = None, None
@@ -242,12 +248,17 @@ def read_back(index: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "page_id long, url string, html string")
 
 
-def pages_normalised(pages: DataFrame) -> DataFrame:
-    """Pages written as monolithic WARC files, normalised: the index of all their records."""
+def _normalised(pages: DataFrame) -> tuple[DataFrame, int]:
+    """The index of pages_normalised, and the number of files."""
     spark = pages.sparkSession
     at = scratch(spark, "warc")
     written = [r.source for r in write_monolithic(pages, f"{at}/monolithic").collect()]  # one row a file
-    return normalise(spark, written, f"{at}/records")
+    return normalise(spark, written, f"{at}/records"), len(written)
+
+
+def pages_normalised(pages: DataFrame) -> DataFrame:
+    """Pages written as monolithic WARC files, normalised: the index of all their records."""
+    return _normalised(pages)[0]
 
 
 def page_index(pages: DataFrame) -> DataFrame:
@@ -258,5 +269,5 @@ def page_index(pages: DataFrame) -> DataFrame:
 
 def page_round_trip(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload_sha256): pages read back by the sidecar index, member by member."""
-    back = read_back(pages_normalised(pages))
+    back = read_back(*_normalised(pages))
     return back.select("page_id", "url", F.sha2("html", 256).alias("payload_sha256"))
