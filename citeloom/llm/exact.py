@@ -2,25 +2,29 @@
 
 The first digits (byte length, then the first bytes) route every document to a task; a route
 that would be too heavy for one task is split by further bytes, round after round, before
-anything moves. The text is shuffled once. Inside a task the split goes on over successive bytes,
+anything moves; documents of such a route that end there are equal, and are counted where they lie,
+so that copies of one text without number meet in no task. The text is shuffled once. Inside a task the split goes on over successive bytes,
 with digits that double in width, until each group is a singleton or its documents have ended.
 Equality is decided on the bytes themselves; no digest is taken.
 
 Defined results: a null text is never a copy (first_id is its own doc_id, copies 1); empty texts
 are copies of each other; rows repeated with the same doc_id are copies and each is returned;
-a null doc_id counts in copies but never is first_id unless its whole group has none.
+a null doc_id counts in copies but never is first_id unless its whole group has none. Texts are
+compared whole, however long. An empty table gives no rows. ids are integers; other columns may have
+any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import pick, positional
+from citeloom.llm.common import pick, positional, staged
 
 FIRST_DIGITS = 64
 TASK_BYTES = 256 << 20
@@ -71,28 +75,36 @@ class _Group:
         return self.rows
 
 
-def _routed(rows: DataFrame, text: str, spread: str, task_bytes: int) -> DataFrame:
-    """rows with __len and __route, exchanged by them and sorted; a null text goes by spread."""
+def _routed(rows: DataFrame, text: str, spread: str, task_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """rows with __len and __route, exchanged by them and sorted; a null text goes by spread.
+
+    Routes that are too heavy for one task are split by further bytes. Where such a route has come to
+    the end of its documents, they are all equal and need not meet: these rows are the second result.
+    """
     data, names = F.col(text).cast("binary"), rows.columns
     rows = rows.withColumn("__len", F.octet_length(text).cast("long"))
     rows = rows.withColumn("__route", F.coalesce(F.substring(data, 1, FIRST_DIGITS), F.col(spread).cast("string").cast("binary"), F.lit(b"")))
-    width, before = FIRST_DIGITS, None
-    while True:
-        heavy = rows.filter(F.col("__len") > width)
-        if before is not None:
-            heavy = heavy.join(before, ["__len", "__route"], "left_semi")
-        digit = F.substring(data, 1, width)
-        # At most (all bytes / task_bytes) of these can exist, however large the input is.
-        heavy = heavy.groupBy("__len", digit.alias("__route")).agg(F.sum("__len").alias("__bytes")).filter(F.col("__bytes") > task_bytes)
-        found = heavy.select("__len", "__route").collect()
-        if not found:
-            break
-        before = rows.sparkSession.createDataFrame(found, "__len long, __route binary")
+    # At most (all bytes / task_bytes) routes are heavy, however large the input is; the table of them is
+    # joined, so Catalyst broadcasts it only while it is small.
+    hot = lambda d: d.groupBy("__len", "__route").agg(F.sum(F.col("__len") + 64).alias("__bytes")).filter(F.col("__bytes") > task_bytes).select("__len", "__route")
+    width, ended = FIRST_DIGITS, []
+    heavy = staged(hot(rows.filter(F.col("__len").isNotNull()).select("__len", "__route")), "routes")
+    while not heavy.isEmpty():
+        ended.append(heavy.filter(F.col("__len") <= width))
         width *= 8
-        longer = before.withColumn("__hot", F.lit(True))
-        rows = rows.join(longer, ["__len", "__route"], "left").withColumn("__route", F.when(F.col("__hot"), F.substring(data, 1, width)).otherwise(F.col("__route"))).drop("__hot")
-        before = rows.select("__len", "__route").filter(F.length("__route") > width // 8).distinct()
-    return rows.select(*names, "__len", "__route").repartition("__len", "__route").sortWithinPartitions("__len", "__route")
+        longer = heavy.filter(F.col("__len") > width // 8).withColumn("__split", F.lit(True))
+        if longer.isEmpty():
+            break
+        rows = rows.join(longer, ["__len", "__route"], "left").withColumn("__route", F.when(F.col("__split"), F.substring(data, 1, width)).otherwise(F.col("__route")))
+        heavy = staged(hot(rows.filter("__split").select("__len", "__route")), "routes")
+        rows = rows.drop("__split")
+    equal = None
+    if ended:
+        done = reduce(DataFrame.union, ended).withColumn("__ended", F.lit(True))
+        rows = rows.join(done, ["__len", "__route"], "left")
+        equal, rows = rows.filter("__ended"), rows.filter(F.col("__ended").isNull())
+        equal = equal.select(*names, "__len", "__route")
+    return rows.select(*names, "__len", "__route").repartition("__len", "__route").sortWithinPartitions("__len", "__route"), equal
 
 
 def _runs(batches: Iterable[pa.RecordBatch], text: str, row: Callable, merge: Callable, finish: Callable, alone: Callable, flush: Callable) -> Iterator[pa.RecordBatch]:
@@ -153,7 +165,13 @@ def exact_groups(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
 
         yield from _runs(batches, "text", ids, list, lambda classes: [add(c) for c in classes], lambda rb, i: add([ids(rb, i)]), flush)
 
-    return _routed(rows, "text", "doc_id", task_bytes).mapInArrow(run, schema)
+    routed, equal = _routed(rows, "text", "doc_id", task_bytes)
+    found = routed.mapInArrow(run, schema)
+    if equal is None:
+        return found
+    # Their route is their whole text: partial sums and a join with the few such texts.
+    first = staged(equal.groupBy("__len", "__route").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "equal")
+    return found.union(equal.select("doc_id", "__len", "__route").join(first, ["__len", "__route"]).select("doc_id", "first_id", "copies"))
 
 
 def exact_dedup(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
@@ -184,4 +202,9 @@ def exact_dedup(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
 
         yield from _runs(batches, text, row, lambda rows: [min(rows, key=lambda r: r[0])], lambda classes: [alone(c[0][1], 0) for c in classes], alone, flush)
 
-    return _routed(rows, text, key, task_bytes).mapInArrow(run, schema).toDF(*cols)
+    routed, equal = _routed(rows, text, key, task_bytes)
+    found = routed.mapInArrow(run, schema)
+    if equal is not None:
+        order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"))
+        found = found.union(equal.groupBy("__len", "__route").agg(F.min_by(F.struct(*names), order).alias("r")).select("r.*"))
+    return found.toDF(*cols)

@@ -56,3 +56,13 @@ def test_empty_table(docs_of, spark):
     df = spark.createDataFrame([], "doc_id long, text string, _0 int")
     assert exact_groups(df).count() == 0
     assert exact_dedup(df).count() == 0
+
+
+def test_a_text_repeated_without_end_is_counted_where_it_lies(docs_of):
+    long = "q" * 900
+    many = [(i if i % 7 else None, long) for i in range(300)] + [(400 + i, long[:-1] + str(i % 10)) for i in range(40)] + [(500, "b" * 20), (501, "b" * 20), (502, None), (503, "")]
+    got = exact_groups(docs_of(many), 4000).collect()
+    assert sorted(map(tuple, got), key=str) == brute(many)
+    kept = exact_dedup(docs_of(many), 4000).collect()
+    assert sorted(r.text for r in kept if r.text is not None) == sorted({t for _, t in many if t is not None})
+    assert next(r.doc_id for r in kept if r.text == long) == 1 and sum(r.text is None for r in kept) == 1
