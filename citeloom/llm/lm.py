@@ -8,13 +8,16 @@ another; a child is found by a successor search in its context's range, relative
 Probabilities are quantised to 8 bits with a codebook for each level. Files lie in the shared folder
 and are memory-mapped by the scorers.
 
-Smoothing is absolute discounting with the mass that is left going to the shorter context:
-P(w|uv) = (c(uvw) - d) / c(uv) + b(uv) P(w|v), over n-grams seen at least twice, b(uv) being one less
-the sum of the first terms; so it sums to one. Words below least occurrences share one id.
+Smoothing is absolute discounting by one occurrence, with the mass that is left going to the shorter
+context: P(w|uv) = (c(uvw) - 1) / c(uv) + b(uv) P(w|v), b(uv) being one less the sum of the first
+terms; so it sums to one. The texts scored are those counted, and the one occurrence taken off is the
+text's own: an n-gram that occurs once in the corpus says nothing for the text it stands in, so it has
+no mass and no place in the trie. All words count; with a least above 1, rarer ones share one id.
 
 Defined results: null and empty texts and texts without words have 0 words, log probability 0 and a
 null perplexity, and count for nothing. Rows repeated count and are scored each. A null doc_id is
-scored like any other. Over an empty table nothing is built and nothing returned.
+scored like any other. Texts are taken whole, however long; ties cannot arise. Over an empty table
+nothing is built and nothing returned. ids are integers; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import chunks, mixed, pick, scratch
-from citeloom.llm.counts import Vocabulary, by_bucket, mapped, put, rows_of, squeeze, text_bytes, vocabulary, word_ids
+from citeloom.llm.common import chunks, hashed, mixed, pick, scratch, words
+from citeloom.llm.counts import Vocabulary, by_bucket, mapped, put, rows_of, squeeze, text_bytes, vocabulary
 
-LEAST = 3
-DISCOUNT = 0.5
+LEAST = 1
+DISCOUNT = 1.0
 SEEN = 2
 SHARD_BYTES = 16 << 20
 END = np.uint32(0xFFFFFFFF)
@@ -218,40 +221,47 @@ class Model:
     shards: int
     other_back: float
 
-    def log_probabilities(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Natural log of P(word | up to two words before it in the text), word by word."""
+    def log_probabilities(self, ids: np.ndarray, counts: np.ndarray, distinct: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Natural log of P(word | up to two words before it in the text), word by word.
+
+        distinct has the ids without repeats and each word's place among them, where these are known.
+        """
         v = self.vocab
-        c = v.gather("count", ids, v.other, np.float64)
+        own, codes = distinct or np.unique(ids, return_inverse=True)
+        c = v.gather("count", own, v.other, np.float64)[codes]
         p = (c + DISCOUNT) / (v.total + DISCOUNT * (v.size + 1))
         doc = np.repeat(np.arange(len(counts)), counts)
         pair = np.flatnonzero(doc[1:] == doc[:-1])  # the pair (i, i + 1)
         if not len(pair):
             return np.log(p)
-        key, inverse = np.unique(ids[pair] << 32 | ids[pair + 1], return_inverse=True)
+        often = c >= SEEN  # no n-gram with another word is in the trie
+        known = pair[often[pair] & often[pair + 1]]
+        key, inverse = np.unique(ids[known] << 32 | ids[known + 1], return_inverse=True)
         a, b = key >> 32, key & 0xFFFFFFFF
         shard = _shard_of(a, b, self.shards)
         node, p2, back2 = np.full(len(key), -1), np.zeros(len(key)), np.ones(len(key))
-        third = np.full(len(ids), -1)  # for word i + 2, the distinct pair before it
-        triple = pair[:-1][pair[1:] == pair[:-1] + 1]
-        third[triple + 2] = inverse[np.searchsorted(pair, triple)]
+        third = np.full(len(ids) + 1, -1)  # for word i + 2, the distinct pair before it
+        third[known + 2] = inverse
+        third = third[:-1]
+        third[1:][doc[1:] != doc[:-1]] = -1
         p3 = np.zeros(len(ids))
         order = np.argsort(shard, kind="stable")
         behind = np.flatnonzero(third >= 0)
         behind = behind[np.argsort(shard[third[behind]], kind="stable")]
         cuts, cuts3 = (np.searchsorted(s, np.arange(self.shards + 1)) for s in (shard[order], shard[third[behind]]))
-        for s in range(self.shards):
-            own, words3 = order[cuts[s] : cuts[s + 1]], behind[cuts3[s] : cuts3[s + 1]]
-            if not len(own):
-                continue
+        for s in np.flatnonzero(np.diff(cuts)):
+            own2, words3 = order[cuts[s] : cuts[s + 1]], behind[cuts3[s] : cuts3[s + 1]]
             trie = Trie(f"{self.uri}/shard-{s}")
-            node[own] = trie.bigrams(a[own], b[own])
-            hit = own[node[own] >= 0]
+            node[own2] = trie.bigrams(a[own2], b[own2])
+            hit = own2[node[own2] >= 0]
             p2[hit], back2[hit] = trie.value("p2", node[hit]), trie.value("back", node[hit])
+            words3 = words3[often[words3]]
             words3 = words3[node[third[words3]] >= 0]
             at = trie.trigrams(node[third[words3]], ids[words3])
             p3[words3[at >= 0]] = trie.value("p3", at[at >= 0])
-        back1 = v.gather("back", ids[pair], self.other_back, np.float64, folder=f"{self.uri}/back")
-        p[pair + 1] = p2[inverse] + back1 * p[pair + 1]
+        back1 = v.gather("back", own, self.other_back, np.float64, folder=f"{self.uri}/back")[codes]
+        p[pair + 1] *= back1[pair]
+        p[known + 1] += p2[inverse]
         p[behind] = p3[behind] + back2[third[behind]] * p[behind]
         return np.log(np.maximum(p, 1e-300))
 
@@ -278,12 +288,15 @@ def train(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES) -
             return rows_of([(s, squeeze(*(x[order[cut[s] : cut[s + 1]]] for x in (pair, third, n)))) for s in range(shards) if cut[s + 1] > cut[s]])
 
         for rb in chunks(batches, "text", 8 << 20):
-            ids, counts = word_ids(rb.column(0), vocab)
-            doc = np.repeat(np.arange(len(counts)), counts)
-            at = np.flatnonzero(doc[1:] == doc[:-1])
+            w = words(rb.column(0))
+            own = vocab.ids(hashed(w.names))
+            often = (vocab.gather("count", own, vocab.other) >= SEEN)[w.codes]
+            ids, doc = own[w.codes], w.docs
+            # What has a word that occurs once occurs once, and has no mass.
+            at = np.flatnonzero((doc[1:] == doc[:-1]) & often[1:] & often[:-1])
             if len(at):
                 after = np.append(ids, 0)[at + 2].astype(np.uint32)
-                after[np.append(doc, -1)[at + 2] != doc[at]] = END
+                after[(np.append(doc, -1)[at + 2] != doc[at]) | ~np.append(often, False)[at + 2]] = END
                 held.append((ids[at].astype(np.uint64) << np.uint64(32) | ids[at + 1].astype(np.uint64), after))
             if sum(len(p) for p, _ in held) > 3_000_000:
                 yield send()
@@ -349,8 +362,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in chunks(batches, "text", 8 << 20):
-            ids, counts = word_ids(rb.column(1), model.vocab)
-            logs = model.log_probabilities(ids, counts) if len(ids) else np.zeros(0)
+            w = words(rb.column(1))
+            own, counts = model.vocab.ids(hashed(w.names)), w.counts
+            logs = model.log_probabilities(own[w.codes], counts, (own, w.codes)) if len(w.codes) else np.zeros(0)
             total = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=logs, minlength=len(counts))
             none = counts == 0
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(counts), pa.array(total), pa.array(np.exp(-total / np.maximum(counts, 1)), mask=none)], names=["doc_id", "words", "log_probability", "perplexity"])
