@@ -106,7 +106,7 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def _strings(texts: pa.Array) -> list[str]:
+def strings(texts: pa.Array) -> list[str]:
     # By way of numpy: Arrow's own list of Python strings takes eight times as long.
     return texts.to_numpy(zero_copy_only=False).tolist()
 
@@ -117,7 +117,7 @@ def pieces(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     lists = pc.utf8_split_whitespace(texts)
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), _strings(coded.dictionary), counts
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), strings(coded.dictionary), counts
 
 
 def expand(codes: np.ndarray, counts: np.ndarray, each: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +143,7 @@ def words(texts: pa.Array, marks: bool = False, lower: bool = True) -> Words:
     lists = pc.utf8_split_whitespace(texts)
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    codes, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), _strings(coded.dictionary)
+    codes, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), strings(coded.dictionary)
     if "" in names:  # before or after white space at an end
         gap = codes == names.index("")
         counts = counts - np.bincount(np.repeat(np.arange(len(counts)), counts)[gap], minlength=len(counts))

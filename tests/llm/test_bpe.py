@@ -52,3 +52,12 @@ def test_round_trip_through_tables(docs_of, spark):
     assert {(r.doc_id, r.n_tokens is None, r.round_trip) for r in got.collect()} == {(1, False, True), (2, False, True), (3, True, None), (None, False, True)}
     assert sorted(map(tuple, bpe.bpe_decode(got).collect()), key=str) == sorted(rows, key=str)
     assert bpe.bpe_encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_dictionary_of_the_corpus_gives_the_library_s_tokens(spark, docs_of):
+    """In buckets and files of few words, and with a text that holds every mark."""
+    lib = reference(FILES[0])
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + [bpe.MARKS + " all marks", "a " * 5000, ""]
+    got = bpe.bpe_encode(docs_of(list(enumerate(texts))), bucket_bytes=20_000, file_words=500).collect()
+    assert {r.doc_id: list(r.tokens) for r in got} == {i: lib.encode_ordinary(t) for i, t in enumerate(texts)} and all(r.round_trip for r in got)
+    assert {r.doc_id: r.n_tokens for r in bpe.token_counts(docs_of(list(enumerate(texts)))).collect()} == {i: len(lib.encode_ordinary(t)) for i, t in enumerate(texts)}
