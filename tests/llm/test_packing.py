@@ -66,3 +66,20 @@ def test_pack_places_every_piece_once(docs_of):
 def test_nothing_to_pack(docs_of, spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert pack(docs_of([(1, None), (2, "")])).count() == 0
+
+
+def test_lengths_are_tokens_and_hot_ids_are_dealt(docs_of):
+    from citeloom.llm.bpe import token_counts
+
+    rng = random.Random(2)
+    rows = [(None if i % 3 == 0 else i, " ".join(rng.choice(["one", "forty", "unbelievable", "x9"]) for _ in range(rng.randint(1, 60)))) for i in range(300)]
+    docs = docs_of(rows)
+    want = defaultdict(int)
+    for r in token_counts(docs).collect():
+        want[r.doc_id] += r.n_tokens
+    got = pack(docs, capacity=64, shard_pieces=20).collect()
+    have = defaultdict(int)
+    for r in got:
+        have[r.doc_id] += r.length
+    assert have == want and len({(r.doc_id, r.copy, r.piece) for r in got}) == len(got)
+    assert len({r.bin >> 32 for r in got if r.doc_id is None}) > 3
