@@ -44,6 +44,7 @@ FILE_WORDS = 4 << 20
 HELD_WORDS = 400_000
 MARKS = "\x1f\x1e\x1d\x1c\x02\x03" + "".join(map(chr, range(0xF0000, 0xF0100)))
 _SPACE = r"[\t-\r\x85\p{Z}]"
+_BEHIND = r"([\pL\pN])([^\t-\r\x{85}\pZ\pL\pN" + "MARK])"
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^\t-\r\x85\p{{Z}}\p{{L}}\p{{N}}]+|{_SPACE}+(?![^\t-\r\x85\p{{Z}}])|{_SPACE}+")
 
 
@@ -146,18 +147,34 @@ def _pretokens(texts: pa.Array, ids: dict[str, int]) -> tuple[np.ndarray, np.nda
     texts = texts.cast(pa.large_string()).fill_null("")
     mark = next(c for c in "\x1f\x1e\x1d\x1c\x02\x03" + "".join(map(chr, range(0xF0000, 0xF0100))) if not pc.any(pc.match_substring(texts, c)).as_py())
     # Cutting before spaces cuts no pre-token, but where a space stands inside a longer gap.
-    split = pc.replace_substring(texts, " ", mark + " ")
+    # So does cutting between a letter or digit and a mark behind it.
+    split = pc.replace_substring_regex(pc.replace_substring(texts, " ", mark + " "), _BEHIND.replace("MARK", mark), rf"\1{mark}\2")
     inside = pc.match_substring_regex(texts, r"[\s\x0b\x85\pZ] ([\s\x0b\x85\pZ]|$)")
     split = pc.if_else(inside, texts, split)
     lists = pc.split_pattern(split, mark)
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    each, values = np.zeros(len(coded.dictionary), np.int64), []
-    for i, s in enumerate(strings(coded.dictionary)):
-        found = [s] if s[1:].isalpha() and s[:1] == " " else PATTERN.findall(s)
+    names = strings(coded.dictionary)
+    # A piece that is a pre-token itself is known from the first text on; only new ones go to the pattern.
+    known = list(map(ids.get, names))
+    parts: dict[int, list[int]] = {}
+    for i in [i for i, k in enumerate(known) if k is None]:
+        s = names[i]
+        if s[1:].isalpha() and s[:1] == " ":
+            known[i] = ids.setdefault(s, len(ids))
+        else:
+            found = [ids.setdefault(w, len(ids)) for w in PATTERN.findall(s)]
+            known[i] = found[0] if found else 0
+            if len(found) != 1:
+                parts[i] = found
+    each = np.ones(len(names), np.int64)
+    for i, found in parts.items():
         each[i] = len(found)
-        values.extend([ids.setdefault(w, len(ids)) for w in found])
-    out, per = expand(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts, each, np.array(values, np.int64))
+    values = np.repeat(np.array(known, np.int64), each)
+    starts = np.cumsum(each) - each
+    for i, found in parts.items():
+        values[starts[i] : starts[i] + len(found)] = found
+    out, per = expand(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts, each, values)
     return out, per
 
 
