@@ -12,7 +12,9 @@ Defined results: a null, empty or blank text has a null probability and is kept.
 null count for nothing; a doc_id labelled or present more than once counts as one document with
 the mean of its labels (good from one half on) and any one of its texts. Without labelled
 documents of both kinds, every probability is null and every document is kept. Rows repeated are
-scored each; a null doc_id is scored like any other.
+scored each; a null doc_id is scored like any other. Texts are taken whole, however long. A probability
+equal to the threshold is kept. An empty table gives no rows. ids are integers; other columns may have
+any names.
 """
 
 from __future__ import annotations

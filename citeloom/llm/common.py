@@ -25,7 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lean(spark: SparkSession) -> None:
-    """Arrow batches of 1,000 rows where the session has Spark's 10,000: both sides hold a batch of whole texts."""
+    """Arrow batches of 1,000 rows where the session has Spark's 10,000: both sides hold a batch of whole texts.
+
+    For the caller, who owns the session, to run once; the registered queries and the pipeline do.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, "1000")
@@ -33,7 +36,6 @@ def lean(spark: SparkSession) -> None:
 
 def positional(df: DataFrame) -> DataFrame:
     """The same rows with the columns named _0, _1, ...: no name of the caller's can clash."""
-    lean(df.sparkSession)
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
 
@@ -46,10 +48,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder in the cluster's shared spark.checkpoint.dir; it goes when the driver ends.
 
-    Only where the session names no such folder (tests) is a temporary one used.
+    Only where the session names no such folder and is local (tests) is a temporary one used.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _fallback:
             _fallback.append(tempfile.mkdtemp(prefix="citeloom-"))
         base = f"file://{_fallback[0]}"
@@ -111,13 +115,23 @@ def strings(texts: pa.Array) -> list[str]:
     return texts.to_numpy(zero_copy_only=False).tolist()
 
 
+def _filled(codes: np.ndarray, names: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without the empty pieces before or after white space at an end."""
+    if "" not in names:
+        return codes, counts
+    gap = codes == names.index("")
+    return codes[~gap], counts - np.bincount(np.repeat(np.arange(len(counts)), counts)[gap], minlength=len(counts))
+
+
 def pieces(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """White-space-separated pieces: codes, their distinct strings, pieces per text (null: none)."""
     texts = texts.cast(pa.large_string()).fill_null("")
     lists = pc.utf8_split_whitespace(texts)
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), strings(coded.dictionary), counts
+    codes, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), strings(coded.dictionary)
+    codes, counts = _filled(codes, names, counts)
+    return codes, names, counts
 
 
 def expand(codes: np.ndarray, counts: np.ndarray, each: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,10 +158,7 @@ def words(texts: pa.Array, marks: bool = False, lower: bool = True) -> Words:
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
     codes, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), strings(coded.dictionary)
-    if "" in names:  # before or after white space at an end
-        gap = codes == names.index("")
-        counts = counts - np.bincount(np.repeat(np.arange(len(counts)), counts)[gap], minlength=len(counts))
-        codes = codes[~gap]
+    codes, counts = _filled(codes, names, counts)
     return Words(codes, names, counts)
 
 

@@ -10,7 +10,9 @@ shared with the template is returned, with the words where it starts and ends.
 Defined results: null and empty texts and texts of one word match nothing and return no row. A
 document returns a row for each licence it holds, its best stretch (the first, of equal ones); with
 closest, not the licences whose stretch overlaps that of one with a higher coefficient, as those of a
-kindred licence do. Rows repeated with one doc_id return theirs each. A null doc_id stays null.
+kindred licence do. Rows repeated with one doc_id return theirs each. A null doc_id stays null. Texts
+are taken whole, however long. An empty table gives no rows. ids are integers; other columns may have
+any names.
 """
 
 from __future__ import annotations

@@ -383,7 +383,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             w = words(rb.column(1))
             own, counts = model.vocab.ids(hashed(w.names)), w.counts
             logs = model.log_probabilities(own[w.codes], counts, (own, w.codes)) if len(w.codes) else np.zeros(0)
-            total = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=logs, minlength=len(counts))
+            total = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=logs, minlength=len(counts)).astype(np.float64)
             none = counts == 0
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(counts), pa.array(total), pa.array(np.exp(-total / np.maximum(counts, 1)), mask=none)], names=["doc_id", "words", "log_probability", "perplexity"])
 

@@ -13,7 +13,9 @@ Similarity is the share of equal signature values; groups are the connected comp
 
 Defined results: null, empty and blank texts and texts without words are near copies of nothing; a
 text of one or two words is one token. Rows with a null doc_id are in no group. Rows repeated with
-one doc_id count once, and their signatures join its groups. Groups of one are not returned.
+one doc_id count once, and their signatures join its groups. Groups of one are not returned. Texts are
+taken whole, however long; of equal candidates for a group's id there is but one, the least doc_id. An
+empty table gives no rows. ids are integers; other columns may have any names.
 """
 
 from __future__ import annotations

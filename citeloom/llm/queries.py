@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from citeloom.llm import bpe, classifier, exact, license, lm, minhash, packing, rules, toxicity, warc
-from citeloom.llm.common import table
+from citeloom.llm.common import lean
+from citeloom.llm.common import table as _table
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
+    return _table(spark, sf_dir, name)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ rejected. White space itself is not encoded; each word is, with one space before
 Defined results: a null, empty or blank text is rejected as 'empty' and has null measures. A
 language with fewer than least documents is judged by the band of all documents in its script, and
 where these are fewer too, of all documents. Rows repeated are
-measured each. A null doc_id stays null. Ties cannot arise: each row is judged on its own.
+measured each. A null doc_id stays null. Ties cannot arise: each row is judged on its own. Texts are
+taken whole, however long. An empty table gives no rows. ids are integers; other columns may have any
+names.
 """
 
 from __future__ import annotations

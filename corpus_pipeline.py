@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
 return the columns of documents. Classifiers and near copies span a whole corpus, which SQL cannot
-express here, so there is no oracle; tests compare run() with a brute-force pipeline.
+express here, so there is no oracle; tests/llm/test_pipeline.py compares every stage with a brute-force
+version on its own input, and run() with the stages one after another.
+
+Defined results: rows with a null or blank text go in the first stage; null doc_ids and languages pass
+all stages; rows repeated are copies, and one stays. Long texts are taken whole. An empty table gives
+no rows. Stages that return documents return all its columns, whatever others there are.
 """
 
 from __future__ import annotations
@@ -12,26 +17,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from citeloom.llm import classifier, exact, minhash, packing, rules
-from citeloom.llm.common import staged, table
+from citeloom.llm.common import lean, staged, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return rules.quality_filter(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return classifier.classifier_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return exact.exact_dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return minhash.near_dedup(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return packing.pack(docs)
 
 

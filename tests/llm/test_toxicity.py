@@ -45,3 +45,42 @@ def test_no_contrast_no_scores(spark, docs_of):
     for toxic in (0, 1):
         got = scores(spark, docs_of, rows, [(1, toxic, 0), (2, toxic, 0)])
         assert all(r.score == 0 and not r.toxic for r in got.values()) and len(got) == 3
+
+
+def test_graph_and_walks_equal_brute_force(spark, docs_of):
+    """All words of a small corpus, in stripes that hold few of them each."""
+    import numpy as np
+
+    from citeloom.llm.common import hashed
+    from citeloom.llm.toxicity import RESTART, STEPS, WINDOW, lexicon
+
+    rng = random.Random(9)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.15)), 40)}" for _ in range(rng.randint(3, 25))) for _ in range(120)]
+    words = sorted({w for t in texts for w in t.split()})
+    at = {w: i for i, w in enumerate(words)}
+    pairs, count = np.zeros((len(words),) * 2), np.zeros(len(words))
+    for t in (t.split() for t in texts):
+        for i, w in enumerate(t):
+            count[at[w]] += 1
+            for k in range(1, WINDOW + 1):
+                if i + k < len(t) and t[i + k] != w:
+                    pairs[at[w], at[t[i + k]]] += 1
+                    pairs[at[t[i + k]], at[w]] += 1
+    with np.errstate(divide="ignore"):
+        graph = np.where(pairs >= 2, np.maximum(0, np.log(pairs * count.sum() / (2 * WINDOW * np.outer(count, count)))), 0)
+    bad, good = ["w3", "w7", "w20"], ["w0", "w1"]
+    mass = {}
+    for name, side in (("bad", bad), ("good", good)):
+        start = np.zeros(len(words))
+        start[[at[w] for w in side]] = 1 / len(side)
+        x = start
+        for _ in range(STEPS):
+            x = (1 - RESTART) * graph @ (x / np.maximum(graph.sum(0), 1e-9)) + RESTART * start
+        mass[name] = x * len(side) / RESTART
+    want = np.clip((mass["bad"] - mass["good"]) / (mass["bad"] + mass["good"] + 1), 0, 0.999)
+    for block_bytes in (1 << 20, 300):
+        grid = lexicon(docs_of(list(enumerate(texts))).select("text"), hashed(bad), hashed(good), block_bytes)
+        codes, known = grid.codes(hashed([*words, "unseen"]))
+        assert known.tolist() == [True] * len(words) + [False] and grid.stripes == (1 if block_bytes > 300 else 4)
+        assert np.allclose(grid.values(f"step{STEPS}", "weight", codes[:-1]), want, atol=1e-4)
+    assert (want > 0.05).sum() > len(bad)
