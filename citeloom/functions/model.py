@@ -60,7 +60,7 @@ def build_citations(quotes: DataFrame, doc: str = "doc_id", captured_at: Column
         null("string").alias("page_ref"), null("string").alias("section"), text_fragment_url(pick("url"), "text_exact", before, after).alias("fragment_url"),
     )
     at = captured_at if captured_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return quotes.select(doc, F.lit("1.0").alias("version"), F.format_string(prefix + "-%03d", n).alias("id"), source.alias("source"), target.alias("target"), infer_relation("text_exact", "text_before").alias("relation"), at.alias("captured_at"), F.lit("model").alias("captured_by"), null("string").alias("enrichment"))
+    return quotes.select(doc, F.lit("1.0").alias("version"), F.format_string(prefix + "-%03d", n).alias("id"), source.alias("source"), target.alias("target"), infer_relation("text_exact", "text_before", "text_after").alias("relation"), at.alias("captured_at"), F.lit("model").alias("captured_by"), null("string").alias("enrichment"))
 
 
 _FIELDS = ("version", "id", "source", "target", "relation", "captured_at", "captured_by", "enrichment")

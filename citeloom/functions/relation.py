@@ -9,10 +9,10 @@ from citeloom.functions.text import blank, col
 
 RELATIONS = ("supports", "contradicts", "defines", "quantifies", "contextualizes", "method", "cautions")
 CAPTURED_BY = ("author", "tool", "model")
-#: In order; the first whose pattern is found in the lower-cased text wins. "both" looks at the context too.
+#: In order; the first whose pattern is found in the lower-cased text wins. "around" looks at the context alone.
 RULES = (
     ("defines", "text", "defined as|refers to|means|is termed"),
-    ("defines", "both", "define|definition of"),
+    ("defines", "around", "define|definition of"),
     ("contradicts", "text", "disagree|challenge|refute|contrary to|not supported"),
     ("quantifies", "text", "percent|%|rate|proportion|number of|million"),
     ("cautions", "text", "warn|caution|risk|concern|difficult|harm"),
@@ -22,13 +22,13 @@ RULES = (
 DISCIPLINES = {"academic": "social_science", "grey": "social_science", "journalism": "journalism", "web": "journalism", "ai_output": "ai_output"}
 
 
-def infer_relation(exact: Column | str, before: Column | str | None = None) -> Column:
+def infer_relation(exact: Column | str, before: Column | str | None = None, after: Column | str | None = None) -> Column:
     """By substrings, not words: a cascade in which the first hit decides."""
-    text = F.lower(col(exact))
-    both = text if before is None else F.concat(F.lower(F.coalesce(col(before), F.lit(""))), F.lit(" "), text)
+    text, side = F.lower(col(exact)), lambda c: F.lit("") if c is None else F.lower(F.coalesce(col(c), F.lit("")))
+    around = F.concat(side(before), F.lit(" "), side(after))
     out = F.when(col(exact).isNull(), F.lit(None).cast("string"))
     for name, where, pattern in RULES:
-        out = out.when((both if where == "both" else text).rlike(pattern), name)
+        out = out.when((around if where == "around" else text).rlike(pattern), name)
     return out.otherwise("supports")
 
 

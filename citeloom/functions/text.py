@@ -19,7 +19,8 @@ def col(c: Column | str) -> Column:
 
 
 def nfc(c: Column | str) -> Column:
-    return F.when(col(c).isNotNull(), F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col(c), F.lit(False)))
+    """Text without code points from U+0300 on is in that form already, and is left alone."""
+    return F.when(~col(c).rlike(r"[^\x{0}-\x{2FF}]"), col(c)).when(col(c).isNotNull(), F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col(c), F.lit(False)))
 
 
 def strip(c: Column | str) -> Column:

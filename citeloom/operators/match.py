@@ -27,7 +27,8 @@ def _located(df: DataFrame, source: str, passage: str) -> DataFrame:
 
 def locate(df: DataFrame, source: str, passage: str, fuzzy: bool = True) -> DataFrame:
     """Each row's passage in its own source. Python sees only rows that the two plain searches left."""
-    rows = df.withColumn("__s", normalize(source)).withColumn("__p", normalize(passage))
+    # An empty passage is found nowhere; one of white space alone is, at the beginning.
+    rows = df.withColumn("__s", normalize(source)).withColumn("__p", normalize(F.nullif(col(passage), F.lit(""))))
     rows = _located(rows, "__s", "__p")
     if not fuzzy:
         return rows.drop("__s", "__p")

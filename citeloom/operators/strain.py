@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import strain as S
 
 GAP = 0.3
+BINS = 4096
 _COLUMNS = ("supports", "contradicts", "defines", "quantifies", "contextualizes", "method", "cautions")
 PROFILES = {
     "hard_science": (0.15, 0.08, 0.20, 0.35, 0.55, (0, 0.10, -0.05, -0.05, 0.10, -0.03, 0.05)),
@@ -66,6 +67,17 @@ def obstructions(scored: DataFrame, doc: str, source: str, order: str, score: st
     return pairs.withColumn("strain_gap", F.abs(F.col("strain_a") - F.col("strain_b")))
 
 
+def obstruction_counts(scored: DataFrame, doc: str, source: str, order: str, score: str = "score", gap: float = GAP) -> DataFrame:
+    """Each use with the number of uses of its source in its document that are at least gap away.
+
+    One sort by (document, source, score) instead of all pairs: uses that are far below or above are
+    counted by ranges of the sorted scores.
+    """
+    w = Window.partitionBy(doc, source).orderBy(score)
+    below, above = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, -gap)), F.count("*").over(w.rangeBetween(gap, Window.unboundedFollowing))
+    return scored.select(doc, source, F.col(order).alias("citation"), score, (below + above).alias("obstructions"))
+
+
 def consistency(clustered: DataFrame, doc: str) -> DataFrame:
     """Per document: sources cited more than once, once, and the share of the former that agree."""
     multi = F.col("citations") > 1
@@ -95,11 +107,14 @@ def fit_profile(points: DataFrame, raw: str = "raw_score", label: str = "human_l
     base = points.agg(F.avg(raw).alias("mean"), F.when(var > 0, F.sqrt(var)).otherwise(0.1).alias("std"), F.count_if(F.col(label) < 0.5).alias("n"))
     good = points.filter(F.col(label) < 0.5)
     ranks = lambda q: F.floor(F.col("n") * q)
-    # Scores are counted by value first; what is numbered is the distinct values with running totals.
-    from pyspark.sql import Window
-
-    byval = good.groupBy(raw).agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy(raw)))
-    limits = byval.crossJoin(base.select("n")).agg(*[F.min(F.when(F.col("upto") > ranks(q), F.col(raw))).alias(name) for name, q in (("q75", 0.75), ("q90", 0.90), ("q95", 0.95))])
+    # Scores are counted by value, and values numbered range by range: BINS ranges of the scores' span,
+    # and on top of each the running count of those before it.
+    span = base.select("n").crossJoin(points.agg(F.min(raw).alias("lo"), F.max(raw).alias("hi")))
+    byval = good.groupBy(raw).agg(F.count("*").alias("k")).crossJoin(F.broadcast(span))
+    byval = byval.withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.floor((F.col(raw) - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS)).otherwise(0))
+    before = byval.groupBy("bin").agg(F.sum("k").alias("own")).withColumn("below", F.sum("own").over(Window.orderBy("bin")) - F.col("own")).drop("own")
+    byval = byval.join(F.broadcast(before), "bin").withColumn("upto", F.col("below") + F.sum("k").over(Window.partitionBy("bin").orderBy(raw)))
+    limits = byval.agg(*[F.min(F.when(F.col("upto") > ranks(q), F.col(raw))).alias(name) for name, q in (("q75", 0.75), ("q90", 0.90), ("q95", 0.95))])
     means = points.groupBy(relation).agg(F.avg(raw).alias("rel_mean"))
     n, mean, std = F.col("n"), F.col("mean"), F.col("std")
     return means.crossJoin(base).crossJoin(limits).select(relation, (F.col("rel_mean") - mean).alias("adjustment"), mean, std, F.when(n > 3, F.col("q75")).otherwise(mean).alias("low"), F.when(n > 9, F.col("q90")).otherwise(mean + std).alias("moderate"), F.when(n > 19, F.col("q95")).otherwise(mean + 2 * std).alias("high"))

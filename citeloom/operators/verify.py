@@ -32,8 +32,7 @@ def _warnings(fetchable: Column, level: Column, match_type: Column, status: Colu
     if offline:
         out.append(F.when(level == 1, "level 1: context or a link is missing"))
     else:
-        tried = status.isin("verified", "passage_verified", "hash_mismatch", "passage_not_found")
-        out += [F.when(~fetchable, "no address to fetch"), F.when(status == "passage_not_found", "passage not found in the source"), F.when(match_type == "fuzzy", "found only approximately"), F.when(tried & match_type.isNotNull() & (status != "verified"), "context differs from the source")]
+        out += [F.when(~fetchable, "no address to fetch"), F.when(status == "passage_not_found", "passage not found in the source"), F.when(match_type == "fuzzy", "found only approximately"), F.when(match_type.isin("exact", "normalized") & ~c("source_hash_valid"), "context differs from the source")]
     return F.array_compact(F.array(*out))
 
 
@@ -57,7 +56,7 @@ def verify(citations: DataFrame, offline: bool = False, fuzzy: bool = True) -> D
     consulted = c("status").isin("verified", "passage_verified", "hash_mismatch", "passage_not_found")
     rows = rows.withColumn("source_hash_valid", F.when(consulted & c("match_type").isNotNull(), c("source_hash_recomputed") == c("hash")))
     rows = rows.withColumn("warnings", _warnings(fetchable, c("conformance_level"), c("match_type"), c("status"), False))
-    return rows.withColumn("badge", badge("status", "internal_hash_valid", fetchable))
+    return rows.withColumn("badge", badge("status", "internal_hash_valid", F.lit(True)))
 
 
 def with_first_source(citations: DataFrame, fetched: DataFrame, urls: str = "urls", key: str = "citation_id") -> DataFrame:

@@ -7,6 +7,7 @@ documents are passages, turns are claims about the turn before, events are score
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -44,6 +45,8 @@ def shared(spark: SparkSession, name: str) -> str:
     """A fresh folder in the cluster's shared spark.checkpoint.dir; a temporary one only where it is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="citeloom-")
         atexit.register(shutil.rmtree, base, True)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -187,7 +190,7 @@ _NOW = "CASE lang WHEN 'fr' THEN upper(text) WHEN 'de' THEN lines[1] WHEN 'en' T
     WITH d AS (SELECT doc_id, lang, text, string_split(text, chr(10)) AS lines FROM documents),
     c AS (SELECT doc_id, lines[2] AS x, right(lines[1] || chr(10), 50) AS b, left(chr(10) || coalesce(lines[3], ''), 50) AS a, {_NOW} AS t FROM d WHERE len(lines) > 1),
     n AS (SELECT *, {sql.norm('t')} AS s, {sql.norm('x')} AS p FROM c),
-    m AS (SELECT *, CASE WHEN position(p IN s) > 0 OR p = '' THEN greatest(position(p IN s), 1) ELSE position(lower(p) IN lower(s)) END - 1 AS st FROM n),
+    m AS (SELECT *, CASE WHEN x = '' THEN 0 WHEN position(p IN s) > 0 OR p = '' THEN greatest(position(p IN s), 1) ELSE position(lower(p) IN lower(s)) END - 1 AS st FROM n),
     r AS (SELECT *, {sql.fingerprint('substr(s, st + 1, length(p))', 'substr(s, greatest(st - 50, 0) + 1, least(st, 50))', 'substr(s, st + length(p) + 1, 50)')} = {sql.fingerprint('x', 'b', 'a')} AS same FROM m)
     SELECT doc_id, CASE WHEN coalesce(t, '') = '' THEN 'source_unavailable' WHEN st < 0 THEN 'passage_not_found' WHEN same THEN 'verified' ELSE 'passage_verified' END AS status,
            CASE WHEN coalesce(t, '') = '' THEN 'unreachable' WHEN st >= 0 AND same THEN 'verified' ELSE 'partial' END AS badge
@@ -364,9 +367,9 @@ def recent_results(spark, sf_dir):
     return store.recent(results(spark, sf_dir), status="error").select("id", "citation_id")
 
 
-@query(f"SELECT role, {sql.relation('text')} AS relation, count(*) AS n FROM conversations GROUP BY ALL")
+@query(f"WITH {sql.PASSAGES} SELECT lang, {sql.relation('exact', "before || ' ' || after")} AS relation, count(*) AS n FROM passages GROUP BY ALL")
 def relation_inference(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("role", relation.infer_relation("text").alias("relation")).agg(F.count("*").alias("n"))
+    return passages(spark, sf_dir).groupBy("lang", relation.infer_relation("exact", "before", "after").alias("relation")).agg(F.count("*").alias("n"))
 
 
 @query("""

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from citeloom.functions.html import ENTITIES, steps
 from citeloom.functions.links import FRAGMENT_STOPWORDS
-from citeloom.functions.relation import RULES
 from citeloom.functions.strain import STOPWORDS, TOKEN
 from citeloom.functions.text import EDGE_SPACE
 
@@ -27,18 +25,28 @@ def fingerprint(exact: str, before: str, after: str) -> str:
 
 
 def html_to_text(x: str) -> str:
-    for pattern, to in steps():
-        x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(to)}, 'g')"
-    for name, char in ENTITIES:
-        x = f"replace({x}, {quoted(name)}, {quoted(char)})"
-    x = f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
-    x = f"replace(replace(replace({x}, chr(10) || chr(10), chr(1)), chr(10), ' '), chr(1), chr(10) || chr(10))"
+    """For pages as simple as those of the driver's tables, written out on its own."""
+    for tag in ("script", "style", "nav", "footer", "header"):
+        x = f"regexp_replace({x}, '<{tag}[ >].*?</{tag}>', '', 'gis')"
+    x = f"regexp_replace(regexp_replace({x}, '<!doctype[^>]*>', '', 'gi'), '<!--.*?-->', '', 'gs')"
+    x = f"regexp_replace({x}, '<(p|div|br|h[1-6]|li|tr|blockquote|section|article)(\\s[^>]*)?/?>|</(p|div|li|blockquote)>', chr(10) || chr(10), 'gi')"
+    x = f"regexp_replace({x}, '</?[a-zA-Z][^>]*>', '', 'g')"
+    for name, char in (("nbsp", 160), ("copy", 169), ("middot", 183), ("mdash", 8212), ("ndash", 8211), ("quot", 34), ("#39", 39), ("lt", 60), ("gt", 62), ("amp", 38)):
+        x = f"replace({x}, '&{name};', chr({char}))"
+    x = f"array_to_string(list_transform(string_split_regex({x}, '\\n{{2,}}'), lambda p: replace(p, chr(10), ' ')), chr(10) || chr(10))"
     return f"trim(regexp_replace({x}, '  +', ' ', 'g'), {quoted(EDGE_SPACE)})"
 
 
-def relation(text: str) -> str:
-    when = " ".join(f"WHEN regexp_matches(lower({text}), {quoted(p)}) THEN '{name}'" for name, _, p in RULES)
-    return f"CASE WHEN {text} IS NULL THEN NULL {when} ELSE 'supports' END"
+def relation(text: str, around: str) -> str:
+    """As the rules are stated, a hit of any word in the lower-cased text; not taken from the code's table."""
+    said = lambda x, *words: "(" + " OR ".join(f"contains(lower({x}), {quoted(w)})" for w in words) + ")"
+    return f"""CASE WHEN {text} IS NULL THEN NULL
+        WHEN {said(text, "defined as", "refers to", "means", "is termed")} OR {said(around, "define", "definition of")} THEN 'defines'
+        WHEN {said(text, "disagree", "challenge", "refute", "contrary to", "not supported")} THEN 'contradicts'
+        WHEN {said(text, "percent", "%", "rate", "proportion", "number of", "million")} THEN 'quantifies'
+        WHEN {said(text, "warn", "caution", "risk", "concern", "difficult", "harm")} THEN 'cautions'
+        WHEN {said(text, "method", "approach", "technique", "framework", "model", "protocol")} THEN 'method'
+        WHEN {said(text, "history", "tradition", "background", "context", "evolution of")} THEN 'contextualizes' ELSE 'supports' END"""
 
 
 def tokens(text: str) -> str:

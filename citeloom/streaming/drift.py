@@ -14,20 +14,20 @@ STATE = "last_hash string, last_length long, seen array<string>"
 
 def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last, length, seen = state.get if state.exists else (None, None, [])
-    known, out = set(seen), []
+    known = set(seen)
     rows = pd.concat(list(frames)).sort_values(["ts", "seq"])  # of one micro-batch; later batches are later
-    for r in rows.itertuples():
-        if r.content_hash not in known:
-            if last is not None:
-                out.append((key[0], last, r.content_hash, length, r.content_length, r.ts))
-            known.add(r.content_hash)
-        last, length = r.content_hash, r.content_length
-    state.update((last, int(length), sorted(known)))
-    yield pd.DataFrame(out, columns=["url", "old_hash", "new_hash", "old_length", "new_length", "detected_at"])
+    size = rows["content_length"].astype("Int64")
+    before = pd.DataFrame({"hash": rows["content_hash"].shift(fill_value=last), "length": size.shift(fill_value=pd.NA if length is None else length)})
+    new = (~rows["content_hash"].isin(known) & ~rows["content_hash"].duplicated()).to_numpy() & before["hash"].notna().to_numpy()
+    end = size.iloc[-1]
+    state.update((rows["content_hash"].iloc[-1], None if pd.isna(end) else int(end), sorted(known | set(rows["content_hash"].dropna()))))
+    yield pd.DataFrame({"url": key[0], "old_hash": before["hash"][new], "new_hash": rows["content_hash"][new], "old_length": before["length"][new], "new_length": size[new], "detected_at": rows["ts"][new]})
 
 
 def drift_stream(fetches: DataFrame) -> DataFrame:
-    """The events of operators.store.drift_events from a stream of (url, ts, seq, content_hash, content_length).
+    """A null length stays null; the state of an address grows with its distinct contents.
+
+    The events of operators.store.drift_events from a stream of (url, ts, seq, content_hash, content_length).
 
     Micro-batches are taken in the order of their arrival: a fetch that comes in a later batch counts as later.
     """
