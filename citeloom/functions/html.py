@@ -115,6 +115,26 @@ def is_html(content_type: Column | str, body: Column | str) -> Column:
     return F.coalesce(F.lower(col(content_type)).contains("html"), F.lit(False)) | F.lower(F.ltrim(col(body))).rlike("^(<!doctype|<html)")
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(body: pd.Series, content_type: pd.Series) -> pd.Series:
+    def one(b, kind):
+        if b is None:
+            return None
+        named = re.search(r"charset=[\"']?([\w.:-]+)", kind or "", re.I)
+        try:
+            return b.decode(named[1] if named else "utf-8", "replace")
+        except LookupError:
+            return b.decode("utf-8", "replace")
+
+    return pd.Series([one(b, k) for b, k in zip(body, content_type)], dtype=object)
+
+
+def fetched_text(body: Column | str, content_type: Column | str) -> Column:
+    """The text of a fetched body: by the header's charset, else UTF-8, and reduced to its text where it is HTML."""
+    text = _decoded(col(body), col(content_type))
+    return F.when(is_html(content_type, text), html_to_text(text)).otherwise(text)
+
+
 def escape(c: Column | str) -> Column:
     out = col(c)
     for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):

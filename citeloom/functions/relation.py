@@ -63,10 +63,3 @@ def badge(status: Column | str, internal_valid: Column | str, consulted: Column
 def conformance_level(before: Column | str, after: Column | str, doi: Column | str, url: Column | str, archive_url: Column | str, fragment_url: Column | str) -> Column:
     two = (~blank(before) | ~blank(after)) & (~blank(doi) | ~blank(url))
     return F.when(two & ~blank(archive_url) & ~blank(fragment_url), 3).when(two, 2).otherwise(1)
-
-
-def author_label(authors: Column | str) -> Column:
-    """Surnames of one or two authors, or the first and et al."""
-    names = F.transform(col(authors), lambda a: F.when(F.instr(a, ",") > 0, F.trim(F.substring_index(a, ",", 1))).otherwise(F.substring_index(F.trim(a), " ", -1)))
-    n = F.size(names)
-    return F.when(n == 1, F.get(names, F.lit(0))).when(n == 2, F.concat_ws(" & ", names)).when(n > 2, F.concat(F.get(names, F.lit(0)), F.lit(" et al.")))

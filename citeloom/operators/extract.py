@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAST_QUOTE, LEAST_CLAIM, AROUND = 20, 15, 50
@@ -230,3 +231,18 @@ def extract(articles: DataFrame, text: str, form: str) -> DataFrame:
     return articles.select(*names, text).mapInArrow(run, schema)
 
 
+NOTATION = r"\[\[(\w+):([^|\[\]]+)\|([^|\[\]]+)\|([^|\[\]]*)\|([^|\[\]]*)\]\]"
+
+
+def from_notation(texts: DataFrame, text: str) -> DataFrame:
+    """The other columns with (kind, id, hash, url, relation) of each [[kind:id|hash|url|relation]] in plain text."""
+    keep = [c for c in texts.columns if c != text]
+    rows = texts.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(NOTATION), 0)).alias("__n"))
+    part = lambda i, name: F.regexp_extract("__n", NOTATION, i).alias(name)
+    return rows.select(*keep, part(1, "kind"), part(2, "id"), part(3, "hash"), part(4, "url"), part(5, "relation"))
+
+
+def grouped(quotes: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, text_exact, position, hints): passages with all that they cite, the last in the text first."""
+    rows = quotes.groupBy(doc, "text_exact").agg(F.min("position").alias("position"), F.array_sort(F.collect_list("citation_hint")).alias("hints"))
+    return rows.orderBy(doc, F.desc("position"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from citeloom.functions.fuzzy import fuzzy_match
 from citeloom.functions.text import CONTEXT, col, normalize, windows
@@ -25,6 +28,17 @@ def _located(df: DataFrame, source: str, passage: str) -> DataFrame:
     }).drop("__exact", "__at")
 
 
+def _approximate(rows: DataFrame) -> DataFrame:
+    """rows of (__s, __p) with the columns of MATCH from the approximate search."""
+    rows = rows.withColumn("__f", fuzzy_match("__s", "__p"))
+    start, end = F.col("__f.start"), F.col("__f.end")
+    before, after = windows("__s", start, end, CONTEXT)
+    return rows.withColumns({
+        "match_type": F.when(start.isNotNull(), "fuzzy"), "norm_char_start": start, "norm_char_end": end, "matched_text": F.substring(F.col("__s"), start + 1, end - start),
+        "context_before": before, "context_after": after, "similarity": F.col("__f.similarity"),
+    }).drop("__f")
+
+
 def locate(df: DataFrame, source: str, passage: str, fuzzy: bool = True) -> DataFrame:
     """Each row's passage in its own source. Python sees only rows that the two plain searches left."""
     # An empty passage is found nowhere; one of white space alone is, at the beginning.
@@ -33,39 +47,79 @@ def locate(df: DataFrame, source: str, passage: str, fuzzy: bool = True) -> Data
     if not fuzzy:
         return rows.drop("__s", "__p")
     done = rows.filter(F.col("match_type").isNotNull())
-    left = rows.filter(F.col("match_type").isNull()).withColumn("__f", fuzzy_match("__s", "__p"))
-    start, end = F.col("__f.start"), F.col("__f.end")
-    before, after = windows("__s", start, end, CONTEXT)
-    left = left.withColumns({
-        "match_type": F.when(start.isNotNull(), "fuzzy"), "norm_char_start": start, "norm_char_end": end, "matched_text": F.substring(F.col("__s"), start + 1, end - start),
-        "context_before": before, "context_after": after, "similarity": F.col("__f.similarity"),
-    }).drop("__f")
+    left = _approximate(rows.filter(F.col("match_type").isNull()))
     return done.unionByName(left).drop("__s", "__p")
 
 
-def _grams(text: Column, inner: bool) -> Column:
-    """Hashes of three words in a row; of a passage only one, without its end words, which may be cut."""
-    words = F.split(F.lower(text), " ")
-    if inner:
-        return F.when(F.size(words) >= 5, F.xxhash64(F.get(words, F.lit(1)), F.get(words, F.lit(2)), F.get(words, F.lit(3))))
-    # Three slices side by side: looking words up one by one would split the text once for each of them.
-    n = F.greatest(F.size(words) - 2, F.lit(0))
-    runs = F.arrays_zip(F.slice(words, 1, n).alias("x"), F.slice(words, 2, n).alias("y"), F.slice(words, 3, n).alias("z"))
-    return F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r["x"], r["y"], r["z"])))
+def _keys(words: Column) -> Column:
+    """Hashes of each word, each two and each three words in a row."""
+    # Slices side by side: looking words up one by one would split the text once for each of them.
+    rest = lambda k: F.slice(words, k, F.greatest(F.size(words) - (k - 1), F.lit(0)))
+    one = F.transform(words, lambda x: F.xxhash64(x))
+    two = F.zip_with(words, rest(2), lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y)))
+    three = F.transform(F.arrays_zip(words.alias("x"), rest(2).alias("y"), rest(3).alias("z")), lambda r: F.when(r["z"].isNotNull(), F.xxhash64(r["x"], r["y"], r["z"])))
+    return F.struct(one.alias("one"), two.alias("two"), three.alias("three"))
+
+
+def _inner(words: Column) -> Column:
+    """The key of a passage: up to three words in its middle, as the words at its ends may be cut. None below three words."""
+    n, at = F.size(words), lambda i: F.get(words, F.lit(i))
+    return F.when(n >= 5, F.xxhash64(at(1), at(2), at(3))).when(n == 4, F.xxhash64(at(1), at(2))).when(n == 3, F.xxhash64(at(1)))
+
+
+def _scanned(short: DataFrame, sources: DataFrame, block: int = 20_000) -> DataFrame:
+    """(__pid, __sid) of passages of one or two words, block by block of them, in one pass of an automaton over all sources."""
+    found = None
+    blocks = -(-short.count() // block)
+    for k in range(blocks):
+        part = short.filter(F.pmod(F.xxhash64("__pid", "__p"), F.lit(blocks)) == k).select("__pid", F.lower("__p")).collect()
+
+        def run(batches, part=part):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            ids: dict[str, list] = {}
+            for pid, p in part:
+                ids.setdefault(p, []).append(pid)
+            for p, own in ids.items():
+                automaton.add_word(p, own)
+            if ids:
+                automaton.make_automaton()
+            for rb in batches:
+                hits = [(pid, sid) for sid, s in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()) if s and ids for pid in {x for _, own in automaton.iter(s) for x in own}]
+                yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in ((0, kinds[0]), (1, kinds[1]))], names=["__pid", "__sid"])
+
+        kinds = [to_arrow_type(short.schema["__pid"].dataType), to_arrow_type(sources.schema["__sid"].dataType)]
+        hits = sources.select("__sid", F.lower("__s").alias("__s")).mapInArrow(run, T.StructType([T.StructField("__pid", short.schema["__pid"].dataType), T.StructField("__sid", sources.schema["__sid"].dataType)]))
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
-def search_corpus(passages: DataFrame, sources: DataFrame, passage_id: str, source_id: str, passage: str = "text", source: str = "text") -> DataFrame:
+def search_corpus(passages: DataFrame, sources: DataFrame, passage_id: str, source_id: str, passage: str = "text", source: str = "text", fuzzy: bool = False) -> DataFrame:
     """(passage_id, source_id, MATCH) of every passage found in every source, exact or case-folded.
 
-    Passages of five words or more meet sources by a hash of three words; Catalyst broadcasts the
-    passages' side only while it is small, and shuffles both by that hash beyond. Shorter passages, which
-    have no such key, are compared with every source.
+    Passages meet sources by a hash of one to three words from their middle; Catalyst broadcasts the
+    passages' side only while it is small, and shuffles both by that hash beyond. Passages of one and two
+    words have no whole word within, and are searched in blocks by an automaton that reads every source.
+    With fuzzy, pairs that share three words at the passage's beginning or middle but have no such match
+    are compared approximately; a passage of which no three such words are left is not found this way.
     """
-    p = passages.select(F.col(passage_id).alias("__pid"), normalize(passage).alias("__p")).filter("__p <> ''").withColumn("__g", _grams(F.col("__p"), True))
+    p = passages.select(F.col(passage_id).alias("__pid"), normalize(passage).alias("__p")).filter("__p <> ''").withColumn("__w", F.split(F.lower("__p"), " "))
     s = sources.select(F.col(source_id).alias("__sid"), normalize(source).alias("__s"))
-    keys = s.select("__sid", F.explode(_grams(F.col("__s"), False)).alias("__g"))
-    met = keys.join(p.filter("__g is not null").select("__pid", "__g"), "__g").select("__pid", "__sid").distinct()
-    near = met.join(p.select("__pid", "__p"), "__pid").join(s, "__sid")
-    short = p.filter("__g is null").select("__pid", "__p").crossJoin(s).filter(F.instr(F.lower("__s"), F.lower("__p")) > 0)
-    both = near.select("__pid", "__p", "__sid", "__s").unionByName(short.select("__pid", "__p", "__sid", "__s"))
-    return _located(both, "__s", "__p").filter("match_type is not null").select(F.col("__pid").alias(passage_id), F.col("__sid").alias(source_id), *MATCH)
+    keys = s.select("__sid", _keys(F.split(F.lower("__s"), " ")).alias("k"))
+    keys = keys.select("__sid", F.explode(F.array_distinct(F.array_compact(F.concat("k.one", "k.two", "k.three")))).alias("__g"))
+    met = keys.join(p.select("__pid", _inner(F.col("__w")).alias("__g")).filter("__g is not null"), "__g").select("__pid", "__sid").distinct()
+    short = _scanned(p.filter(F.size("__w") < 3).select("__pid", "__p"), s)
+    if short is not None:
+        met = met.unionByName(short)
+    both = met.join(p.select("__pid", "__p"), "__pid").join(s, "__sid").select("__pid", "__p", "__sid", "__s")
+    found = _located(both, "__s", "__p").filter("match_type is not null")
+    if fuzzy:
+        n, at = F.size("__w"), lambda i: F.slice("__w", i + 1, F.lit(3))
+        anchor = lambda a: F.xxhash64(F.get(a, F.lit(0)), F.get(a, F.lit(1)), F.get(a, F.lit(2)))
+        anchors = F.array_compact(F.array(F.when(n >= 3, anchor(at(F.lit(0)))), F.when(n >= 6, anchor(at(F.floor(n / 2).cast("int"))))))
+        close = keys.join(p.select("__pid", F.explode(anchors).alias("__g")), "__g").select("__pid", "__sid").distinct()
+        close = close.join(found.select("__pid", "__sid"), ["__pid", "__sid"], "left_anti").join(p.select("__pid", "__p"), "__pid").join(s, "__sid")
+        close = _approximate(close.select("__pid", "__p", "__sid", "__s")).filter("match_type is not null")
+        found = found.select("__pid", "__sid", *MATCH).unionByName(close.select("__pid", "__sid", *MATCH))
+    return found.select(F.col("__pid").alias(passage_id), F.col("__sid").alias(source_id), *MATCH)

@@ -64,3 +64,13 @@ def affected(drift: DataFrame, results: DataFrame) -> DataFrame:
     hit = drift.join(r, "url").filter(F.col("verified_at") <= F.col("detected_at"))
     ids = hit.groupBy("url", "new_hash").agg(F.array_sort(F.collect_set("citation_id")).alias("citation_ids"))
     return drift.join(ids, ["url", "new_hash"], "left").withColumn("citation_ids", F.coalesce("citation_ids", F.array().cast("array<string>")))
+
+
+def drift_of(drift: DataFrame, url: str | None = None, newest_first: bool = False) -> DataFrame:
+    """Drift of one address, or of all, in the order of time."""
+    rows = drift if url is None else drift.filter(F.col("url") == url)
+    return rows.orderBy(F.desc("detected_at") if newest_first else "detected_at", "url", "new_hash")
+
+
+def history_of(history: DataFrame, url: str) -> DataFrame:
+    return history.filter(F.col("url") == url).orderBy("first_seen", "content_hash")

@@ -73,8 +73,8 @@ def obstruction_counts(scored: DataFrame, doc: str, source: str, order: str, sco
     One sort by (document, source, score) instead of all pairs: uses that are far below or above are
     counted by ranges of the sorted scores.
     """
-    w = Window.partitionBy(doc, source).orderBy(score)
-    below, above = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, -gap)), F.count("*").over(w.rangeBetween(gap, Window.unboundedFollowing))
+    frame = f"(PARTITION BY `{doc}`, `{source}` ORDER BY `{score}` RANGE BETWEEN "
+    below, above = (F.expr(f"count(*) OVER {frame} {range_})") for range_ in (f"UNBOUNDED PRECEDING AND {gap!r}D PRECEDING", f"{gap!r}D FOLLOWING AND UNBOUNDED FOLLOWING"))
     return scored.select(doc, source, F.col(order).alias("citation"), score, (below + above).alias("obstructions"))
 
 

@@ -291,12 +291,13 @@ def consistency_report(spark, sf_dir):
 
 
 @query(f"""
-    WITH {sql.SCORED} SELECT a.user_id, a.event_type, a.event_id AS citation_a, b.event_id AS citation_b, round(abs(a.score - b.score), 9) AS strain_gap
-    FROM scored a JOIN scored b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id < b.event_id AND abs(a.score - b.score) >= 0.3
+    WITH {sql.SCORED} SELECT user_id, event_type, event_id AS citation,
+        count(*) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND 0.3 PRECEDING) + count(*) OVER (w RANGE BETWEEN 0.3 FOLLOWING AND UNBOUNDED FOLLOWING) AS obstructions
+    FROM scored WINDOW w AS (PARTITION BY user_id, event_type ORDER BY score)
 """)
 def consistency_obstructions(spark, sf_dir):
-    out = strain.obstructions(scored(spark, sf_dir), "user_id", "event_type", "event_id")
-    return out.select("user_id", "event_type", "citation_a", "citation_b", F.round("strain_gap", 9).alias("strain_gap"))
+    """One row a citation with the number of those that disagree with it; pairs are not spelled out."""
+    return strain.obstruction_counts(scored(spark, sf_dir), "user_id", "event_type", "event_id").drop("score")
 
 
 @query("""
@@ -387,7 +388,7 @@ def embedding_distance(spark, sf_dir):
 def citations_from_html(spark, sf_dir):
     """Writes each turn as a citation in a page of its own and reads it back."""
     c = table(spark, sf_dir, "conversations").filter("text is not null")
-    record = F.to_json(F.struct(F.lit("Cite").alias("@type"), F.lit("1.0").alias("version"), F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("id"), F.struct(F.col("role").alias("title")).alias("source"), F.struct(F.col("text").alias("text_exact")).alias("target"), F.lit("supports").alias("relation")))
+    record = F.to_json(F.struct(F.lit("Cite").alias("@type"), F.lit("1.0").alias("version"), F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("id"), F.struct(F.col("role").alias("title")).alias("source"), F.struct(F.col("text").alias("text_exact")).alias("target"), F.lit("supports").alias("relation"), F.lit("author").alias("captured_by")))
     pages = c.select("conv_id", "turn", F.concat(F.lit('<html><script type="application/ld+json">'), record, F.lit("</script><p>x</p></html>")).alias("html"))
     return citations.from_html(pages, "html", "Cite").select("conv_id", "turn", "id", F.col("target.text_exact").alias("text_exact"), F.col("source.title").alias("title"))
 

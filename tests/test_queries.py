@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import citeloom.plans.drivers  # noqa: F401
 from citeloom.plans.queries import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
