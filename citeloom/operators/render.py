@@ -99,7 +99,7 @@ def render(page: str, cites: list[dict]) -> str:
             body = f'{body[: place[0]]}<span class="cl-mark" data-cite="{ids[0]}" data-cites="{",".join(ids)}" onclick="clToggle(this)">{body[place[0] : place[1]]}</span>{badges}{body[place[1] :]}'
     ordered = [c for g in groups.values() for c in g]
     data = json.dumps([json.loads(c["record"]) for c in ordered], ensure_ascii=False).replace("</", "<\\/")
-    tail = "\n".join([*map(_panel, ordered), f'<script data-cl type="application/ld+json">{data}</script>', f"<script data-cl async>{JS}</script>"]) + "\n"
+    tail = "".join([*map(_panel, ordered), f'<script data-cl type="application/ld+json">{data}</script>', f"<script data-cl async>{JS}</script>"])
     banner = f'<div class="cl-banner">{len(ordered)} verifiable citations</div>'
     style = f"<style data-cl media=\"all\">{CSS}</style>\n"
     close = re.search(r"(?i)</body\s*>", body)

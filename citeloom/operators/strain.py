@@ -71,7 +71,7 @@ def obstruction_counts(scored: DataFrame, doc: str, source: str, order: str, sco
     """Each use with the number of uses of its source in its document that are at least gap away.
 
     One sort by (document, source, score) instead of all pairs: uses that are far below or above are
-    counted by ranges of the sorted scores.
+    counted by ranges of the sorted scores. Scores that differ by just the gap count by the bounds of the range.
     """
     frame = f"(PARTITION BY `{doc}`, `{source}` ORDER BY `{score}` RANGE BETWEEN "
     below, above = (F.expr(f"count(*) OVER {frame} {range_})") for range_ in (f"UNBOUNDED PRECEDING AND {gap!r}D PRECEDING", f"{gap!r}D FOLLOWING AND UNBOUNDED FOLLOWING"))
