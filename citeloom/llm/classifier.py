@@ -21,9 +21,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,25 +72,34 @@ def accumulate(buckets: np.ndarray, counts: np.ndarray, into: np.ndarray) -> Non
 
 
 def word_vectors(rows: DataFrame, text: str) -> np.ndarray:
-    """Unit vectors of the buckets and, in the last column, their weights, from all documents."""
+    """Unit vectors of the buckets and, in the last column, their weights, from all documents.
+
+    The tasks' sums meet in two steps, lane by lane and then the lanes, so that no task adds up those of all others.
+    """
+    lanes = max(1, isqrt(rows.select(text).rdd.getNumPartitions()) // 4)
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS, DIM + 1))
         for rb in chunks(batches, text, 4 << 20):
             accumulate(*bucketed(rb.column(0)), total)
         parts = total.astype(np.float32).reshape(BLOCKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "sums"])
+        lane = np.arange(BLOCKS) * lanes + TaskContext.get().partitionId() % lanes
+        yield pa.RecordBatch.from_arrays([pa.array(lane, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "sums"])
+
+    def merge(kind: type):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for rb in batches:
+                for b, s in zip(rb.column(0).to_pylist(), rb.column(1)):
+                    part = np.frombuffer(s.as_buffer(), kind).astype(np.float64)
+                    sums[b] = sums[b] + part if b in sums else part
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "sums"])
 
-    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for rb in batches:
-            for b, s in zip(rb.column(0).to_pylist(), rb.column(1)):
-                part = np.frombuffer(s.as_buffer(), np.float32).astype(np.float64)
-                sums[b] = sums[b] + part if b in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "sums"])
+        return run
 
     schema = "block int, sums binary"
-    got = rows.select(text).mapInArrow(gather, schema).repartition(BLOCKS, "block").mapInArrow(merge, schema).collect()
+    got = rows.select(text).mapInArrow(gather, schema).repartition(BLOCKS * lanes, "block").mapInArrow(merge(np.float32), schema)
+    got = got.select(F.floor(F.col("block") / lanes).cast("int").alias("block"), "sums").repartition(BLOCKS, "block").mapInArrow(merge(np.float64), schema).collect()
     m = np.zeros((BLOCKS, BUCKETS // BLOCKS * (DIM + 1)))
     for r in got:
         m[r.block] += np.frombuffer(r.sums)
