@@ -113,16 +113,17 @@ def bands(measured: DataFrame, by: str = "__group") -> DataFrame:
 
 def _banded(measured: DataFrame, least: int) -> DataFrame:
     """measured with __band and the quantiles of that band: the language's, else the script's, else that of all."""
-    out, found = measured.withColumn("__all", F.lit("all")), []
-    for by in ("__group", "__script", "__all"):
-        limits = bands(out.select("__group", "__script", "__all", "__tokens", *[f"__{m}" for m in MEASURES]), by)
-        if by != "__all":
-            limits = limits.filter(F.col("__n") >= least)
-        found.append(limits.select(by, F.struct(F.col(by).alias("band"), *[f"__q_{m}" for m in MEASURES]).alias(f"_{by}")))
-    # One row a language or script: the size doesn't follow the number of documents.
-    for by, limits in zip(("__group", "__script", "__all"), found):
-        out = out.join(F.broadcast(limits), by, "left")
-    limits = F.coalesce("___group", "___script", "___all")
+    out = measured
+    every = ["__tokens", *[f"__{m}" for m in MEASURES]]
+    for by in ("__group", "__script"):
+        limits = bands(measured.select(by, *every), by).filter(F.col("__n") >= least)
+        # One row a language or script: the size doesn't follow the number of documents.
+        out = out.join(F.broadcast(limits.select(by, F.struct(F.col(by).alias("band"), *[f"__q_{m}" for m in MEASURES]).alias(f"_{by}"))), by, "left")
+    # The band of all documents is one row: literals, no join.
+    one = bands(measured.select(F.lit("all").alias("__all"), *every), "__all").first()
+    values = [F.array(*map(F.lit, one[f"__q_{m}"])) if one and one[f"__q_{m}"] else F.lit(None).cast("array<double>") for m in MEASURES]
+    rest = F.struct(F.lit("all" if one else None).cast("string").alias("band"), *[v.cast("array<double>").alias(f"__q_{m}") for v, m in zip(values, MEASURES)])
+    limits = F.coalesce("___group", "___script", rest)
     return out.withColumns({"__band": limits["band"], **{f"__q_{m}": limits[f"__q_{m}"] for m in MEASURES}})
 
 
