@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from citeloom.functions.fuzzy import fuzzy_match
-from citeloom.functions.text import CONTEXT, col, normalize, windows
+from citeloom.functions.text import CONTEXT, col, lower, normalize, windows
 
 MATCH = ("match_type", "norm_char_start", "norm_char_end", "matched_text", "context_before", "context_after", "similarity")
 
@@ -17,7 +17,7 @@ MATCH = ("match_type", "norm_char_start", "norm_char_end", "matched_text", "cont
 def _located(df: DataFrame, source: str, passage: str) -> DataFrame:
     """With the columns of MATCH from normalised source and passage; null where neither search hits."""
     exact = F.instr(col(source), col(passage))
-    folded = F.instr(F.lower(col(source)), F.lower(col(passage)))
+    folded = F.instr(lower(col(source)), lower(col(passage)))
     df = df.withColumn("__exact", exact).withColumn("__at", F.when(F.col("__exact") > 0, F.col("__exact")).otherwise(folded) - 1)
     start = F.when(F.col("__at") >= 0, F.col("__at"))
     end = start + F.char_length(passage)
@@ -72,7 +72,7 @@ def _scanned(short: DataFrame, sources: DataFrame, block: int = 20_000) -> DataF
     found = None
     blocks = -(-short.count() // block)
     for k in range(blocks):
-        part = short.filter(F.pmod(F.xxhash64("__pid", "__p"), F.lit(blocks)) == k).select("__pid", F.lower("__p")).collect()
+        part = short.filter(F.pmod(F.xxhash64("__pid", "__p"), F.lit(blocks)) == k).select("__pid", lower("__p")).collect()
 
         def run(batches, part=part):
             import ahocorasick
@@ -90,7 +90,7 @@ def _scanned(short: DataFrame, sources: DataFrame, block: int = 20_000) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in ((0, kinds[0]), (1, kinds[1]))], names=["__pid", "__sid"])
 
         kinds = [to_arrow_type(short.schema["__pid"].dataType), to_arrow_type(sources.schema["__sid"].dataType)]
-        hits = sources.select("__sid", F.lower("__s").alias("__s")).mapInArrow(run, T.StructType([T.StructField("__pid", short.schema["__pid"].dataType), T.StructField("__sid", sources.schema["__sid"].dataType)]))
+        hits = sources.select("__sid", lower("__s").alias("__s")).mapInArrow(run, T.StructType([T.StructField("__pid", short.schema["__pid"].dataType), T.StructField("__sid", sources.schema["__sid"].dataType)]))
         found = hits if found is None else found.unionByName(hits)
     return found
 
@@ -104,9 +104,9 @@ def search_corpus(passages: DataFrame, sources: DataFrame, passage_id: str, sour
     With fuzzy, pairs that share three words at the passage's beginning or middle but have no such match
     are compared approximately; a passage of which no three such words are left is not found this way.
     """
-    p = passages.select(F.col(passage_id).alias("__pid"), normalize(passage).alias("__p")).filter("__p <> ''").withColumn("__w", F.split(F.lower("__p"), " "))
+    p = passages.select(F.col(passage_id).alias("__pid"), normalize(passage).alias("__p")).filter("__p <> ''").withColumn("__w", F.split(lower("__p"), " "))
     s = sources.select(F.col(source_id).alias("__sid"), normalize(source).alias("__s"))
-    keys = s.select("__sid", _keys(F.split(F.lower("__s"), " ")).alias("k"))
+    keys = s.select("__sid", _keys(F.split(lower("__s"), " ")).alias("k"))
     keys = keys.select("__sid", F.explode(F.array_distinct(F.array_compact(F.concat("k.one", "k.two", "k.three")))).alias("__g"))
     met = keys.join(p.select("__pid", _inner(F.col("__w")).alias("__g")).filter("__g is not null"), "__g").select("__pid", "__sid").distinct()
     short = _scanned(p.filter(F.size("__w") < 3).select("__pid", "__p"), s)

@@ -92,7 +92,7 @@ def reference_resolution(spark, sf_dir):
 def enriched_citations(spark, sf_dir):
     """Every line as a citation that had an enrichment of its own, enriched offline."""
     p = passages(spark, sf_dir).withColumn("hash", text.fingerprint("exact", "before", "after"))
-    cites = p.select("doc_id", "pos", F.when(F.col("lang") == "de", F.upper("exact")).otherwise(F.col("exact")).alias("text_exact"), F.col("before").alias("text_before"), F.col("after").alias("text_after"), "hash", F.create_map(F.lit("own"), F.lit('"kept"')).alias("enrichment"))
+    cites = p.select("doc_id", "pos", F.when(F.col("lang") == "de", text.upper("exact")).otherwise(F.col("exact")).alias("text_exact"), F.col("before").alias("text_before"), F.col("after").alias("text_after"), "hash", F.create_map(F.lit("own"), F.lit('"kept"')).alias("enrichment"))
     out = enrich.enrich(cites, F.lit("2026-01-01T00:00:00Z"), offline=True).withColumn("json", enrich.enrichment_json("enrichment"))
     part = lambda path: F.get_json_object("json", path)
     return out.select("doc_id", F.col("pos").cast("long").alias("pos"), part("$.verification.status").alias("status"), labels.short_date(part("$.verification.checked_at")).alias("checked_at"), part("$.own").alias("other"))

@@ -103,7 +103,7 @@ def content_hash_dups(spark, sf_dir):
 def verify_offline(spark, sf_dir):
     """Passages of one language are tampered with after they were hashed."""
     p = passages(spark, sf_dir).withColumn("hash", text.fingerprint("exact", "before", "after"))
-    now = p.select("lang", "hash", F.when(F.col("lang") == "de", F.upper("exact")).otherwise(F.col("exact")).alias("text_exact"), F.col("before").alias("text_before"), F.col("after").alias("text_after"))
+    now = p.select("lang", "hash", F.when(F.col("lang") == "de", text.upper("exact")).otherwise(F.col("exact")).alias("text_exact"), F.col("before").alias("text_before"), F.col("after").alias("text_after"))
     return verify.verify(now, offline=True).groupBy("lang", "status", "badge").agg(F.count("*").alias("n"))
 
 
@@ -166,7 +166,7 @@ def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n")).filter(F.size("lines") > 1)
     before = F.right(F.concat(F.get("lines", F.lit(0)), F.lit("\n")), F.lit(50))
     after = F.left(F.concat(F.lit("\n"), F.coalesce(F.get("lines", F.lit(2)), F.lit(""))), F.lit(50))
-    now = F.when(F.col("lang") == "fr", F.upper("text")).when(F.col("lang") == "de", F.get("lines", F.lit(0))).when(F.col("lang") == "en", F.col("text"))
+    now = F.when(F.col("lang") == "fr", text.upper("text")).when(F.col("lang") == "de", F.get("lines", F.lit(0))).when(F.col("lang") == "en", F.col("text"))
     rows = d.select("doc_id", F.get("lines", F.lit(1)).alias("text_exact"), before.alias("text_before"), after.alias("text_after"), F.col("source").alias("url"), now.alias("source_text"), F.lit("tool").alias("captured_by"))
     return rows.withColumn("hash", text.fingerprint("text_exact", "text_before", "text_after"))
 
@@ -178,7 +178,7 @@ def _cited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = lambda i: F.when(i > 0, F.right(F.concat(F.array_join(F.slice(lines, F.greatest(i - 49, F.lit(1)), F.least(i, F.lit(50))), "\n"), F.lit("\n")), F.lit(50))).otherwise("")
     after = lambda i: F.when(i + 1 < F.size(lines), F.left(F.concat(F.lit("\n"), F.array_join(F.slice(lines, i + 2, F.lit(50)), "\n")), F.lit(50))).otherwise("")
     around = F.transform(lines, lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias("text_exact"), before(i).alias("text_before"), after(i).alias("text_after")))
-    now = F.when(F.col("lang") == "fr", F.upper("text")).when(F.col("lang").isin("de", "en"), F.col("text"))
+    now = F.when(F.col("lang") == "fr", text.upper("text")).when(F.col("lang").isin("de", "en"), F.col("text"))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("url"), now.alias("source_text"), F.lit("tool").alias("captured_by"), F.inline(around))
     return rows.withColumn("hash", text.fingerprint("text_exact", "text_before", "text_after"))
 
