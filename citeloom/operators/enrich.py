@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +76,12 @@ def enrich(citations: DataFrame, now: Column, doc: str = "doc_id", article: str
     return rows
 
 
-def analyze(citations: DataFrame, doc: str, order: str, article: str, calibrate: bool = True) -> dict[str, DataFrame]:
-    """The strain of documents: local (a row a citation), clusters, obstructions (counts a citation), and documents."""
-    local = scored(citations, doc, article, calibrate).withColumn("source_key", source_key("doi", "url", "title", "text_exact"))
+def analyze(citations: DataFrame, doc: str, order: str, article: str, calibrate: bool = True, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """The strain of documents: local (a row a citation), clusters, obstructions (counts a citation), and documents.
+
+    All of them read local; stage can make a table of it, so that citations are scored once.
+    """
+    local = stage(scored(citations, doc, article, calibrate).withColumn("source_key", source_key("doi", "url", "title", "text_exact")))
     clustered = strain.clusters(local, doc, "source_key", order, title="title")
     totals = strain.global_strain(local, doc).join(strain.consistency(clustered, doc), doc)
     return {"local": local, "clusters": clustered, "obstructions": strain.obstruction_counts(local, doc, "source_key", order), "documents": totals}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import labels, links, strain, text
 from citeloom.operators import enrich, extract, render, resolve, store
 from citeloom.plans import sql
-from citeloom.plans.queries import fetches, passages, query, stamp, table, turns
+from citeloom.plans.queries import fetches, passages, query, shared, stamp, table, turns
 from citeloom.sources import writers
 
 _HINT = """
@@ -104,7 +104,13 @@ def analysed(spark, sf_dir):
     kind = F.when(F.col("conv_id") % 2 == 0, "web").otherwise("academic")
     null = F.lit(None).cast("string")
     rows = t.select("*", kind.alias("source_type"), F.lit("supports").alias("relation"), null.alias("doi"), F.concat(F.lit("http://s/"), (F.col("turn") % 2).cast("string")).alias("url"), F.lit("t").alias("title"))
-    return enrich.analyze(rows, "conv_id", "turn", "article")
+
+    def stage(df):
+        at = shared(spark, "strain")
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    return enrich.analyze(rows, "conv_id", "turn", "article", stage=stage)
 
 
 @query()
