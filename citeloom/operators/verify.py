@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.relation import badge, conformance_level
 from citeloom.functions.text import blank, fingerprint
-from citeloom.operators.match import locate
+from citeloom.operators.match import locate, locate_each
 
 
 def offline_status(valid: Column) -> Column:
@@ -36,21 +36,21 @@ def _warnings(fetchable: Column, level: Column, match_type: Column, status: Colu
     return F.array_compact(F.array(*out))
 
 
-def verify(citations: DataFrame, offline: bool = False, fuzzy: bool = True) -> DataFrame:
-    """citations, flat (text_exact, text_before, text_after, hash, doi, url, archive_url, fragment_url,
-    captured_by; and source_text, fetch_error unless offline), with the result of verification."""
+def _prepared(citations: DataFrame) -> DataFrame:
+    """With the columns of a citation that are missing, internal_hash_valid and conformance_level."""
     c = F.col
     has = set(citations.columns)
     missing = [n for n in ("text_before", "text_after", "doi", "url", "archive_url", "fragment_url", "captured_by", "source_text", "fetch_error") if n not in has]
     rows = citations.withColumns({n: F.lit(None).cast("string") for n in missing})
     e = lambda n: F.coalesce(c(n), F.lit(""))
     level = conformance_level("text_before", "text_after", "doi", "url", "archive_url", "fragment_url")
-    rows = rows.withColumn("internal_hash_valid", F.coalesce(c("hash") == fingerprint("text_exact", e("text_before"), e("text_after")), F.lit(False))).withColumn("conformance_level", level)
-    if offline:
-        rows = rows.withColumn("status", offline_status(c("internal_hash_valid"))).withColumn("source_hash_valid", F.lit(None).cast("boolean"))
-        return rows.withColumn("warnings", _warnings(F.lit(True), c("conformance_level"), F.lit(None).cast("string"), c("status"), True)).withColumn("badge", badge("status", "internal_hash_valid", F.lit(False)))
+    return rows.withColumn("internal_hash_valid", F.coalesce(c("hash") == fingerprint("text_exact", e("text_before"), e("text_after")), F.lit(False))).withColumn("conformance_level", level)
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """Prepared citations, located in their sources, with the result of verification."""
+    c = F.col
     fetchable = ~(blank("url") & blank("doi") & blank("archive_url"))
-    rows = locate(rows, "source_text", "text_exact", fuzzy)
     rows = rows.withColumn("source_hash_recomputed", F.when(c("match_type").isNotNull(), fingerprint("matched_text", "context_before", "context_after")))
     rows = rows.withColumn("status", online_status(fetchable, c("source_text"), c("fetch_error"), c("match_type"), c("source_hash_recomputed"), c("hash"), c("internal_hash_valid")))
     consulted = c("status").isin("verified", "passage_verified", "hash_mismatch", "passage_not_found")
@@ -59,6 +59,25 @@ def verify(citations: DataFrame, offline: bool = False, fuzzy: bool = True) -> D
     return rows.withColumn("badge", badge("status", "internal_hash_valid", F.lit(True)))
 
 
+def verify(citations: DataFrame, offline: bool = False, fuzzy: bool = True) -> DataFrame:
+    """citations, flat (text_exact, text_before, text_after, hash, doi, url, archive_url, fragment_url,
+    captured_by; and source_text, fetch_error unless offline), with the result of verification."""
+    c = F.col
+    rows = _prepared(citations)
+    if offline:
+        rows = rows.withColumn("status", offline_status(c("internal_hash_valid"))).withColumn("source_hash_valid", F.lit(None).cast("boolean"))
+        return rows.withColumn("warnings", _warnings(F.lit(True), c("conformance_level"), F.lit(None).cast("string"), c("status"), True)).withColumn("badge", badge("status", "internal_hash_valid", F.lit(False)))
+    return _judged(locate(rows, "source_text", "text_exact", fuzzy))
+
+
+def verify_each(sources: DataFrame, citations: str = "citations", fuzzy: bool = True) -> DataFrame:
+    """verify() for rows of a source_text with an array of all its citations (structs; the hash among them):
+    a row for each citation, without the source's text."""
+    rows = sources.withColumn("__t", F.left("source_text", F.lit(1)))
+    rows = locate_each(rows, "source_text", citations, "text_exact", fuzzy).withColumnRenamed("__t", "source_text")
+    return _judged(_prepared(rows)).drop("source_text")
+
+
 def with_first_source(citations: DataFrame, fetched: DataFrame, urls: str = "urls", key: str = "citation_id") -> DataFrame:
     """Joins the first of each citation's addresses that was fetched well: source_url, source_text, fetch_error."""
     tries = citations.select(key, F.posexplode(urls).alias("__pos", "url"))

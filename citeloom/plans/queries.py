@@ -172,15 +172,21 @@ def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of every document, as it was cited, and what its whole source is now; no shuffle."""
-    lines = F.split("text", "\n")
-    # 50 lines with their ends are 50 characters at least.
-    before = lambda i: F.when(i > 0, F.right(F.concat(F.array_join(F.slice(lines, F.greatest(i - 49, F.lit(1)), F.least(i, F.lit(50))), "\n"), F.lit("\n")), F.lit(50))).otherwise("")
-    after = lambda i: F.when(i + 1 < F.size(lines), F.left(F.concat(F.lit("\n"), F.array_join(F.slice(lines, i + 2, F.lit(50)), "\n")), F.lit(50))).otherwise("")
+    """Each document with all its lines, as they were cited, and what its whole source is now; no shuffle."""
+    lines = F.col("lines")
+    # 50 lines with their ends are 50 characters at least; a neighbour of 49 is enough by itself.
+    ends = lambda i, n, cut: F.array_join(F.transform(F.slice(lines, i, n), lambda x: cut(x, F.lit(50))), "\n")
+    above = lambda i: F.when(F.char_length(F.get(lines, i - 1)) >= 49, F.get(lines, i - 1)).otherwise(ends(F.greatest(i - 49, F.lit(1)), F.least(i, F.lit(50)), F.right))
+    below = lambda i: F.when(F.char_length(F.get(lines, i + 1)) >= 49, F.get(lines, i + 1)).otherwise(ends(i + 2, F.lit(50), F.left))
+    before = lambda i: F.when(i > 0, F.right(F.concat(above(i), F.lit("\n")), F.lit(50))).otherwise("")
+    after = lambda i: F.when(i + 1 < F.size(lines), F.left(F.concat(F.lit("\n"), below(i)), F.lit(50))).otherwise("")
     around = F.transform(lines, lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias("text_exact"), before(i).alias("text_before"), after(i).alias("text_after")))
     now = F.when(F.col("lang") == "fr", text.upper("text")).when(F.col("lang").isin("de", "en"), F.col("text"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("url"), now.alias("source_text"), F.lit("tool").alias("captured_by"), F.inline(around))
-    return rows.withColumn("hash", text.fingerprint("text_exact", "text_before", "text_after"))
+    # The lines as a column of their own: within the lambda, split would run once for every line.
+    rows = table(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n"))
+    rows = rows.select("doc_id", F.col("source").alias("url"), now.alias("source_text"), F.lit("tool").alias("captured_by"), around.alias("citations"))
+    hashed = F.transform("citations", lambda x: x.withField("hash", text.fingerprint(x["text_exact"], x["text_before"], x["text_after"])))
+    return rows.withColumn("citations", hashed)
 
 
 _NOW = "CASE lang WHEN 'fr' THEN upper(text) WHEN 'de' THEN lines[1] WHEN 'en' THEN text END"
@@ -203,13 +209,13 @@ def source_verify_status(spark, sf_dir):
 @query()
 def source_verify_lines(spark, sf_dir):
     """The same of every line of every document against its whole source."""
-    return verify.verify(_cited_lines(spark, sf_dir), fuzzy=False).select("doc_id", "pos", "status", "badge")
+    return verify.verify_each(_cited_lines(spark, sf_dir), fuzzy=False).select("doc_id", "pos", "status", "badge")
 
 
 @query()
 def source_verify_fuzzy(spark, sf_dir):
     """With approximate search of what the plain ones left over, which SQL cannot express."""
-    return verify.verify(_cited_lines(spark, sf_dir)).select("doc_id", "pos", "status", "badge", "match_type", F.round("similarity", 9).alias("similarity"), F.array_join("warnings", "; ").alias("warnings"))
+    return verify.verify_each(_cited_lines(spark, sf_dir)).select("doc_id", "pos", "status", "badge", "match_type", F.round("similarity", 9).alias("similarity"), F.array_join("warnings", "; ").alias("warnings"))
 
 
 _BIGRAMS = "list_transform(range(1, len({0})), lambda i: {0}[i] || '_' || {0}[i + 1])"
